@@ -1,14 +1,14 @@
 """Shared plumbing of the training-data operators: shared folder, spooled tables, Arrow helpers and numpy text kernels."""
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from kmerloom.plans.storage import release, remove, shared_dir, shared_path, spool  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 U64 = np.uint64
 #: Bytes of text that a kernel treats at once (one longer document is treated alone).
@@ -30,43 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), an own temporary folder that is then set."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    made = tempfile.mkdtemp(prefix="kmerloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it: cuts the lineage so that a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._spooled = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes spooled tables that no later step reads."""
-    for df in frames:
-        if path := getattr(df, "_spooled", None):
-            remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def local_path(path: str) -> str:
     """A mounted path for Python's open(); shared folders of other schemes go through pyarrow.fs."""
     return path[5:] if path.startswith("file:") else path

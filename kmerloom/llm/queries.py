@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_array
+from . import minhash, substring_dedup, suffix_array
 from .common import table
 
 
@@ -10,9 +10,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_array_dedup(table(spark, sf_dir, "documents"), length=100).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op9_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op9_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
