@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; every machine has the same installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def local_path(path: str) -> str:
     """A mounted path for Python's open(); shared folders of other schemes go through pyarrow.fs."""
     return path[5:] if path.startswith("file:") else path

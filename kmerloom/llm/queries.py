@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, substring_dedup, suffix_array
-from .common import table
+from . import bitplane, minhash, substring_dedup, suffix_array
+from .common import table, tokenizer_file
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +14,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_array_dedup(table(spark, sf_dir, "documents"), length=100).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op9_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op7_bitplane_ids, op9_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
