@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, minhash, substring_dedup, suffix_array
+from . import bitplane, minhash, mixing, substring_dedup, suffix_array
 from .common import table, tokenizer_file
 
 
@@ -22,5 +22,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_array_dedup(table(spark, sf_dir, "documents"), length=100).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op7_bitplane_ids, op9_suffix_array_dedup)}
+def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).drop("copies")
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op7_bitplane_ids, op9_suffix_array_dedup, op10_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}
