@@ -9,7 +9,11 @@ taken; the fraction is rounded by pivots. Two documents with fractions meet; a r
 other, such that neither's expectation changes, until one fraction is 0 or 1; the other goes on. So the words taken of a
 source stay at its target, but for one last fraction.
 
-Distribution: documents are dealt to leaves by a hash of their doc_id, about LEAF to a leaf; a leaf leaves at most one fraction a source. Those
+Long documents: one that comes last with a fraction leaves an error as long as itself. So a source's documents of more than
+1 / HEAVY of its words, fewer than HEAVY, meet first, class by class of length, and what a class took above or below its share moves
+as one amount to or from the fraction that all shorter documents have in common.
+
+Distribution: the other documents are dealt to leaves by a hash of their doc_id, about LEAF to a leaf; a leaf leaves at most one fraction a source. Those
 residuals meet in the next level of a reduction tree, FAN leaves to a node, up to one node a source. Every random number is a hash of
 the ids that meet, so reruns agree whatever the number of tasks.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, spool
 
-LEAF, FAN = 4096, 64
+LEAF, FAN, HEAVY = 4096, 64, 512
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-12
 
@@ -71,36 +75,57 @@ def settle(rows: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     return done, held
 
 
-def _settle_groups(seed: int, last: bool):
-    """Rows (source_no, node, doc_id, size, fraction) sorted by source and node; copies is null for the residual of a node."""
+def settle_long(rows: list[tuple], source_size: int, seed: int) -> list[tuple]:
+    """Rounds the long documents (key, size, fraction) of a source, longest class first; all have the source's one fraction.
+
+    Each class's last fraction is rounded by chance; the classes after it, and the source's other documents, make up for that.
+    """
+    goal, left, took, done, step = (rows[0][2] if rows else 0) * source_size, source_size, 0.0, [], 8
+    rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+    while rows:
+        cut = [r for r in rows if r[1] * step > source_size]
+        rows, step = rows[len(cut) :], step * 8
+        p = min(1.0, max(0.0, (goal - took) / left)) if left else 0.0
+        out, rest = settle([(k, n, p) for k, n, _ in cut], seed)
+        if rest is not None:
+            out.append((rest[0], rest[1], float(draw(seed, "last", rest[0]) < rest[2])))
+        done += out
+        took += sum(n * q for _, n, q in out)
+        left -= sum(n for _, n, _ in out)
+    return done
+
+
+def _settle_groups(seed: int, last: bool, long: bool):
+    """Rows (source_no, node, doc_id, size, turn, fraction, source_size) sorted by source and node; a node's residual isn't settled."""
 
     def scan(batches):
         held, key = [], None
 
         def flush():
-            done, rest = settle([((doc, size, turn), size, p) for doc, size, p, turn in held], seed)
+            items = [((-1 if doc is None else doc, size, turn, doc), size, p) for doc, size, p, turn, _ in held]
+            done, rest = (settle_long(items, held[0][4], seed), None) if long else settle(items, seed)
             if rest is not None and last:
                 done, rest = [*done, (rest[0], rest[1], float(draw(seed, "last", key[0], rest[0]) < rest[2]))], None
             rows = [(k, p, True) for k, _, p in done] + ([(rest[0], rest[2], False)] if rest else [])
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(rows), pa.int32()), pa.array([key[1]] * len(rows), pa.int64()), pa.array([k[0] for k, _, _ in rows], pa.int64()), pa.array([k[1] for k, _, _ in rows], pa.int64()), pa.array([k[2] for k, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.float64()), pa.array([d for _, _, d in rows], pa.bool_())],
-                ["source_no", "node", "doc_id", "size", "turn", "fraction", "settled"],
+                [pa.array([key[0]] * len(rows), pa.int32()), pa.array([key[1]] * len(rows), pa.int64()), pa.array([k[3] for k, _, _ in rows], pa.int64()), pa.array([k[1] for k, _, _ in rows], pa.int64()), pa.array([k[2] for k, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.float64()), pa.array([d for _, _, d in rows], pa.bool_()), pa.array([held[0][4]] * len(rows), pa.int64())],
+                ["source_no", "node", "doc_id", "size", "turn", "fraction", "settled", "source_size"],
             )
 
         for batch in batches:
-            for source, node, doc, size, turn, p in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for source, node, doc, size, turn, p, whole in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (source, node) != key:
                     if held:
                         yield flush()
                     held, key = [], (source, node)
-                held.append((doc, size, p, turn))
+                held.append((doc, size, p, turn, whole))
         if held:
             yield flush()
 
     return scan
 
 
-STATE = "source_no int, node long, doc_id long, size long, turn long, fraction double, settled boolean"
+STATE = "source_no int, node long, doc_id long, size long, turn long, fraction double, settled boolean, source_size long"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -143,13 +168,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     known = rows.join(goal, rows.source.eqNullSafe(goal.source)).select(rows.doc_id, "size", "source_no", "source_size", "target", F.floor(ratio + EDGE).alias("whole"), (ratio - F.floor(ratio + EDGE)).alias("fraction"))
     leaf = F.pmod(F.xxhash64("doc_id"), F.lit(leaves))
-    twin = Window.partitionBy("source_no", "node", "doc_id", "size")
-    state = known.select("source_no", leaf.alias("node"), "doc_id", "size", F.col("fraction"))
-    state = state.withColumn("turn", F.row_number().over(twin.orderBy("fraction")).cast("long"))
-    settled, nodes = [], leaves
+    twin = Window.partitionBy("source_no", "node", "doc_id", "size").orderBy("fraction")
+    heavy = F.col("size") * HEAVY > F.col("source_size")
+
+    def rounded(state: DataFrame, last: bool, long: bool = False) -> DataFrame:
+        dealt = state.select("source_no", "node", "doc_id", "size", "turn", "fraction", "source_size").repartition(parts, "source_no", "node")
+        return spool(dealt.sortWithinPartitions("source_no", "node", F.desc("size"), "doc_id", "turn").mapInArrow(_settle_groups(seed, last, long), STATE), "settled")
+
+    first = known.where(heavy).select("source_no", F.lit(0).cast("long").alias("node"), "doc_id", "size", "fraction", "source_size")
+    settled = [rounded(first.withColumn("turn", F.row_number().over(twin).cast("long")), True, long=True)]
+    took = settled[0].groupBy("source_no").agg(F.sum(F.col("size") * F.col("fraction")).alias("took"), F.sum("size").alias("long"))
+    rest = goal.join(took, "source_no", "left").withColumn("light", F.col("source_size") - F.coalesce("long", F.lit(0)))
+    share_left = (ratio - F.floor(ratio + EDGE)) * F.col("source_size") - F.coalesce("took", F.lit(0.0))
+    rest = spool(rest.select("source_no", F.when(F.col("light") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share_left / F.col("light")))).otherwise(F.lit(0.0)).alias("fraction")), "rest")
+    state = known.where(~heavy).drop("fraction").join(rest, "source_no").select("source_no", leaf.alias("node"), "doc_id", "size", "fraction", "source_size")
+    state, nodes = state.withColumn("turn", F.row_number().over(twin).cast("long")), leaves
     while True:
-        dealt = state.select("source_no", "node", "doc_id", "size", "turn", "fraction").repartition(parts, "source_no", "node").sortWithinPartitions("source_no", "node", F.desc("size"), "doc_id", "turn")
-        state = spool(dealt.mapInArrow(_settle_groups(seed, nodes == 1), STATE), "settled")
+        state = rounded(state, nodes == 1)
         settled.append(state.where("settled"))
         if nodes == 1:
             break
@@ -159,5 +194,5 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     for more in settled[1:]:
         out = out.union(more)
     facts = goal.join(known.select("source_no", "whole").distinct(), "source_no").select("source_no", "source_size", "target", "whole")
-    out = out.join(facts, "source_no").withColumn("copies", (F.col("whole") + F.when(F.col("fraction") > 0.5, 1).otherwise(0)).cast("int"))
+    out = out.drop("source_size").join(facts, "source_no").withColumn("copies", (F.col("whole") + F.when(F.col("fraction") > 0.5, 1).otherwise(0)).cast("int"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
