@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, minhash, mixing, substring_dedup, suffix_array
+from . import bitplane, fingerprint, minhash, mixing, substring_dedup, suffix_array, topk
 from .common import table, tokenizer_file
 
 
@@ -14,10 +14,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op7_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op8_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.suffix_array_dedup(table(spark, sf_dir, "documents"), length=100).drop("kept_bytes")
 
@@ -26,5 +34,5 @@ def op10_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op7_bitplane_ids, op9_suffix_array_dedup, op10_pivotal_mixing)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_near_dedup, op6_norm_bucketed_topk, op7_bitplane_ids, op8_multiset_fingerprint, op9_suffix_array_dedup, op10_pivotal_mixing)}
 ORACLE_SQL: dict[str, str] = {}
