@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import RUNS, folded, repeated, runs_of
 from .common import _BYTE_SEEDS, ROLL_A, ROLL_B, U64, i64, merge_spans, mix, prepare, ranges, release, spool, text_slices
@@ -284,6 +285,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM) -> DataFra
 
 
 def _keep(length: int):
+    """Rows (doc_id, text, ats, others): the digest columns, the kept bytes, and the others as they are."""
+
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
             raw = data.tobytes()
@@ -298,17 +301,23 @@ def _keep(length: int):
                 spans.append(len(a))
                 shas.append(hashlib.sha256(text).hexdigest())
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["doc_id", *KEPT, *batch.schema.names[3:]])
 
     return scan
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes): every document without the bytes of strings that start earlier too.
+KEPT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
+
+
+def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, carry): every document without the bytes of strings that start earlier too.
 
-    Kept bytes may begin or end inside a character. Null text: empty. A row without doc_id loses nothing. Other columns are ignored.
+    Kept bytes may begin or end inside a character. Null text: empty. A row without doc_id loses nothing. Columns that
+    `carry` doesn't name are ignored.
     """
     spans = repeated_spans(docs, length, k)
     spans = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("ats"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans.hint("shuffle_hash"), "doc_id", "left")
-    return rows.select("doc_id", "text", "ats").mapInArrow(_keep(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "ats", *carry)
+    new = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return rows.mapInArrow(_keep(length), T.StructType([rows.schema.fields[0], *new.fields, *rows.schema.fields[3:]]))
