@@ -268,7 +268,7 @@ _CIGAR = "concat(l_partkey % 30, 'S', 100 + l_orderkey % 900, 'M', l_linenumber,
 
 def _sam(spark, folder):
     rows = table(spark, folder, "lineitem").selectExpr(
-        "concat('s', l_suppkey % 5) AS sample", "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS row_no", f"{_NAME} AS qname", f"{_FLAG} AS flag", "concat('chr', l_suppkey % 25) AS rname", "CAST(l_orderkey AS INT) AS pos", "CAST(l_quantity AS INT) AS mapq",
+        "concat('s', l_suppkey % 5) AS sample", "l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(l_quantity AS INT) * 1000000 + CAST(round(l_discount * 100) AS INT) * 10000 + l_partkey % 10000 AS row_no", f"{_NAME} AS qname", f"{_FLAG} AS flag", "concat('chr', l_suppkey % 25) AS rname", "CAST(l_orderkey AS INT) AS pos", "CAST(l_quantity AS INT) AS mapq",
         f"{_CIGAR} AS cigar", "'*' AS seq", "filter(array(concat('NM:i:', l_linenumber), concat('AS:i:', l_orderkey % 900), CASE WHEN l_orderkey % 19 != 0 THEN concat('de:f:', l_discount) END, CASE WHEN l_partkey % 23 = 0 THEN concat('SA:Z:chr', l_partkey % 25) END), x -> x IS NOT NULL) AS tags",
     )
     return rows
@@ -279,7 +279,7 @@ def _contigs(spark):
     return names.crossJoin(spark.createDataFrame([(s,) for s in SAMPLES], "sample string")).select("sample", F.concat(F.lit("chr"), F.col("id").cast("string")).alias("contig"), ((F.col("id") + 1) * 1_000_000).alias("length"))
 
 
-_SAM = f"""WITH raw AS (SELECT 's' || l_suppkey % 5 AS sample, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS row_no, {_NAME} AS qname, {_FLAG} AS flag, 'chr' || l_suppkey % 25 AS rname, CAST(l_orderkey AS INT) AS pos, CAST(l_quantity AS INT) AS mapq, {_CIGAR} AS cigar, CASE WHEN l_orderkey % 19 <> 0 THEN l_discount END AS de,
+_SAM = f"""WITH raw AS (SELECT 's' || l_suppkey % 5 AS sample, l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(l_quantity AS INT) * 1000000 + CAST(round(l_discount * 100) AS INT) * 10000 + l_partkey % 10000 AS row_no, {_NAME} AS qname, {_FLAG} AS flag, 'chr' || l_suppkey % 25 AS rname, CAST(l_orderkey AS INT) AS pos, CAST(l_quantity AS INT) AS mapq, {_CIGAR} AS cigar, CASE WHEN l_orderkey % 19 <> 0 THEN l_discount END AS de,
 CAST(l_linenumber AS VARCHAR) AS nm, CAST(l_orderkey % 900 AS VARCHAR) AS as_score, CASE WHEN l_partkey % 23 = 0 THEN 'chr' || l_partkey % 25 END AS sa_tag, (l_partkey % 30) AS clip, (100 + l_orderkey % 900 + l_linenumber + l_suppkey % 7) AS aligned, 'T' || l_partkey % 400 AS transcript_id, 'G' || l_partkey % 50 || '.2' AS gene_id, 'T-' || l_partkey % 400 AS transcript_name, 'GENE' || l_partkey % 50 AS gene_name, l_suppkey FROM lineitem),
 m0 AS (SELECT *, flag & 4 = 0 AS mapped, flag & 2048 <> 0 AS supp, flag & 256 <> 0 AS secondary FROM raw),
 m AS (SELECT *, CASE WHEN mapped THEN CAST(aligned AS INT) ELSE 0 END AS aq, CASE WHEN mapped THEN CAST(clip AS INT) ELSE 0 END AS sc, CASE WHEN mapped THEN 100.0::DOUBLE * CAST(aligned AS DOUBLE) / 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS cov, CASE WHEN mapped THEN 100.0::DOUBLE * CAST(clip AS DOUBLE) / 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS scp, CASE WHEN mapped THEN 100.0::DOUBLE * (1.0::DOUBLE - de) END AS ident, CASE WHEN mapped THEN 100.0::DOUBLE * de END AS diverg FROM m0),
