@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import prepare, text_slices
 
-DIM, PER_LANGUAGE, MOST_LANGUAGES = 1 << 13, 400, 500
+DIM, PER_LANGUAGE, MOST_LANGUAGES = 1 << 12, 400, 500
 #: Families of ISO 639-1 codes; a language that isn't named makes a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -47,7 +47,7 @@ def features(data: np.ndarray) -> np.ndarray:
     if len(b) < 3:
         return np.zeros(0, np.int32)
     h = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
-    return (h >> np.uint32(32 - 13)).astype(np.int32)
+    return (h >> np.uint32(32 - 12)).astype(np.int32)
 
 
 def _lower(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -74,26 +74,27 @@ def train_pair(x: np.ndarray, sign: np.ndarray, rounds: int = 200, strength: flo
     """Linear support vector machine (squared hinge loss, each side weighing the same) by accelerated gradient steps."""
     n, d = x.shape
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    rate = 1 / (2 * strength * float((weight * (np.square(x).sum(axis=1) + 1)).sum()) + 1e-3)
+    rate = 1 / (2 * strength * float((weight * (np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1)).sum()) + 1e-3)
     w, b, pw, pb = np.zeros(d), 0.0, np.zeros(d), 0.0
     for i in range(rounds):
         m = i / (i + 3)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
-        gap = np.maximum(0, 1 - sign * (x @ vw + vb)) * weight * sign * 2 * strength
+        gap = np.maximum(0, 1 - sign * (x @ vw.astype(x.dtype) + vb)) * weight * sign * 2 * strength
         pw, pb = w, b
-        w, b = vw + rate * (gap @ x - 1e-3 * vw), vb + rate * gap.sum()
+        w, b = vw + rate * (gap.astype(x.dtype) @ x - 1e-3 * vw), vb + rate * gap.sum()
     return w, b
 
 
 class Model:
-    """families: names; langs: of each family; votes: one-versus-one machines as (group, i, j, weights, offset), group -1 for families."""
+    """Trained on rows x, which it scales in place. families: names; langs: of each family; votes: one-versus-one machines as (group, i, j, weights, offset), group -1 for families."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         self.families = sorted({family_of(x) for x in langs})
         self.langs = [sorted({x for x in langs if family_of(x) == f}) for f in self.families]
-        spread = np.sqrt(np.square(x).mean(axis=0)) if len(x) else np.ones(DIM)
-        scale = np.where(spread > 0, 1 / np.maximum(spread, 1e-4), 0) / np.sqrt(DIM)
-        z, lang = x * scale, np.array(langs)
+        spread = np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)) if len(x) else np.ones(DIM)
+        scale = (np.where(spread > 0, 1 / np.maximum(spread, 1e-4), 0) / np.sqrt(DIM)).astype(np.float32)
+        x *= scale  # in place: the training rows are the driver's largest object
+        lang = np.array(langs)
         family = np.array([family_of(v) for v in langs])
         self.machines, tables, offsets = [], [], []
         pairs = [(-1, i, j, family == a, family == b) for (i, a), (j, b) in itertools.combinations(enumerate(self.families), 2)]
@@ -101,7 +102,7 @@ class Model:
             pairs += [(g, i, j, lang == a, lang == b) for (i, a), (j, b) in itertools.combinations(enumerate(names), 2)]
         for g, i, j, first, second in pairs:
             rows = np.flatnonzero(first | second)
-            w, b = train_pair(z[rows], np.where(first[rows], 1.0, -1.0))
+            w, b = train_pair(x if len(rows) == len(x) else x[rows], np.where(first[rows], 1.0, -1.0))
             self.machines.append((g, i, j))
             tables.append((w * scale).astype(np.float32))
             offsets.append(b)
@@ -161,10 +162,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         return None
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
-    got = sorted((r.lang, bytes(r.x)) for r in chosen.select("lang", "text").mapInArrow(_histograms(), "lang string, x binary").collect())
-    if not got:
+    # some per_language rows of each of MOST_LANGUAGES languages at most, of DIM floats each
+    got = chosen.select("lang", "text").mapInArrow(_histograms(), "lang string, x binary").toArrow().combine_chunks().sort_by([("lang", "ascending"), ("x", "ascending")])
+    if not got.num_rows:
         return None
-    return Model(np.frombuffer(b"".join(x for _, x in got), "<f4").reshape(len(got), DIM).astype(np.float64), [lang for lang, _ in got])
+    rows = np.empty((got.num_rows, DIM), np.float32)
+    for i, x in enumerate(got.column("x")):
+        rows[i] = np.frombuffer(x.as_buffer(), "<f4")
+    langs = got.column("lang").to_pylist()
+    del got
+    return Model(rows, langs)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
