@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, sliding_argmin, spool
+from .common import U64, Rolling, mix, release, sliding_argmin, spool
 
 RUNS = "m long, h long, doc long, at long"
 
@@ -41,15 +41,20 @@ def runs_of(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int, a: Rol
 
 
 def repeated(runs: DataFrame, across_documents: bool) -> DataFrame:
-    """The runs whose anchor occurs again (in another document, if across_documents). Counts are combined before the shuffle, and
-    the join's large side may be split by key, so a frequent anchor doesn't meet in one task."""
+    """The runs whose anchor occurs again (in another document, if across_documents). Counts are combined before the shuffle; the
+    anchors found are a table of their own, so that the join may split a frequent anchor's runs over tasks."""
     seen = runs.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
-    again = seen.where("lo < hi" if across_documents else "n > 1").select("m")
-    return spool(runs.join(again, "m"), "repeated")
+    again = spool(seen.where("lo < hi" if across_documents else "n > 1").select("m"), "again")
+    out = spool(runs.join(again, "m"), "repeated")
+    release(again)
+    return out
 
 
 def folded(runs: DataFrame) -> DataFrame:
-    """Runs with `first` (earliest document and place of an equal run) and `variants` (different runs at the same anchor, 2 for more)."""
-    variants = runs.groupBy("m", "h").agg(F.min(F.struct("doc", "at")).alias("first"))
-    several = variants.groupBy("m").agg(F.count("*").alias("variants"))
-    return spool(runs.join(variants.join(several, "m"), ["m", "h"]), "folded")
+    """Runs with `first` (earliest document and place of an equal run) and `variants` (count of different runs at the same anchor)."""
+    variants = spool(runs.groupBy("m", "h").agg(F.min(F.struct("doc", "at")).alias("first")), "variants")
+    several = spool(variants.groupBy("m").agg(F.count("*").alias("variants")), "several")
+    known = spool(variants.join(several, "m"), "known")
+    out = spool(runs.join(known, ["m", "h"]), "folded")
+    release(variants, several, known)
+    return out

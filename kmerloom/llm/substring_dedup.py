@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUNS, folded, repeated, runs_of
-from .common import U64, WORD_A, WORD_B, i64, merge_spans, prepare, ranges, release, spool, text_slices, word_hashes, words
+from .common import WORD_A, WORD_B, i64, merge_spans, prepare, ranges, release, spool, text_slices, word_hashes, words
 
 GRAM = 12
 
