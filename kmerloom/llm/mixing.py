@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, spool
 
-LEAF, FAN, HEAVY = 4096, 64, 512
+LEAF, FAN, HEAVY = 512, 64, 512
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-12
 
