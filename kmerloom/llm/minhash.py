@@ -10,8 +10,9 @@ its own few signature values, so neighbours in a tree's order share a prefix:
 3. Within a region, neighbours are compared by their whole signatures, and those of a similarity that may reach the
    threshold (far below it, so chance doesn't lose a pair) are joined to candidate blocks over all trees.
 4. Each block compares full sets. A search from each document that isn't yet linked tests all documents not yet reached,
-   so copies of one text cost one round, and every linked pair of the block is found or implied. Blocks of more than
-   `crowd` documents are dealt to parts: see _link_large.
+   so copies of one text cost one round, and every linked pair of the block is found or implied.
+
+Regions and blocks of more than `crowd` documents are dealt to parts and compared all the same: see _link.
 """
 
 import numpy as np
@@ -23,7 +24,9 @@ from kmerloom.operators.graph import components
 
 from .common import LOWER, U64, WORD_A, WORD_B, i64, mix, prepare, release, spool, text_slices, word_hashes, words
 
-TREES, BASE, DEEP, CROWD = 20, 4, 6, 2000
+TREES, BASE, DEEP, CROWD = 20, 4, 6, 500
+#: Shingles that weigh as much as one document where a block's size is bounded.
+SHINGLES = 1000
 #: Share of equal signature values from which full sets are compared: 0.85 less five standard deviations of 120 values.
 LOOSE = 0.69
 _RNG = np.random.default_rng(20240607)
@@ -148,16 +151,17 @@ def _candidates(least: float):
     return scan
 
 
-def _regions(reps: DataFrame, crowd: int) -> DataFrame:
-    """(region, doc_id, signature): every region of two or more, at its adapted depth."""
+def _regions(reps: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(block, doc_id, size, docs): every region of two or more, at its adapted depth; and the table that it reads."""
     spots = reps.select("doc_id", F.posexplode(F.arrays_zip("near", "far")).alias("tree", "key")).select("doc_id", F.col("key.near").alias("near"), F.col("key.far").alias("far"))
     spots = spool(spots, "spots")
-    sizes = spots.groupBy("near").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("near", "n")
+    several = [F.count("*").alias("size"), F.count("*").alias("docs"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
+    sizes = spool(spots.groupBy("near").agg(*several).where("lo < hi").select("near", "size", "docs"), "sizes")
     shared = spool(spots.join(sizes, "near"), "shared")
-    release(spots)
-    dense = shared.where(F.col("n") > crowd)
-    again = dense.groupBy("far").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("far")
-    cut = shared.where(F.col("n") <= crowd).select(F.col("near").alias("region"), "doc_id").union(dense.join(again, "far").select(F.col("far").alias("region"), "doc_id"))
+    release(spots, sizes)
+    dense = shared.where(F.col("size") > crowd).drop("size", "docs")
+    again = dense.groupBy("far").agg(*several).where("lo < hi").select("far", "size", "docs")
+    cut = shared.where(F.col("size") <= crowd).select(F.col("near").alias("block"), "doc_id", "size", "docs").union(dense.join(again, "far").select(F.col("far").alias("block"), "doc_id", "size", "docs"))
     return cut, shared
 
 
@@ -167,7 +171,7 @@ def _sets(size: int):
             values, bounds = shingle_sets(data, offsets, size)
             raw = values.tobytes()
             parts = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(3), pa.array(parts, pa.binary())], ["block", "doc_id", "size", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(3), batch.column(4), pa.array(parts, pa.binary())], ["block", "doc_id", "size", "docs", "members"])
 
     return scan
 
@@ -212,37 +216,40 @@ def _links(percent: int):
     return scan
 
 
-def _compare(members: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(src, dst): each document of members (block, doc_id, members) with the smallest document of its component within the block."""
-    return members.select("block", "doc_id", "members").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_links(percent), "src long, dst long")
+def _link(members: DataFrame, payload: str, scan, crowd: int) -> DataFrame:
+    """(src, dst) links within each block of members (block, doc_id, size, docs, payload). scan links the rows of whole blocks, which come sorted by block.
 
+    size is what a block weighs, docs how many documents it has. Blocks that weigh more than `crowd` are linked without a task that holds a whole one, and no pair is left out: each is dealt by
+    hash to parts of about half of that, and a few pivots go to every part. Links within parts and with pivots join most
+    of a block of copies to one component, its main. Pairs within the main need no test any more. What is outside it (the
+    rest) is cut to bounded pieces, and each piece meets each part of the block, the rest's own parts included.
+    """
+    count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _link_large(members: DataFrame, percent: int, parts: int, crowd: int) -> DataFrame:
-    """Links within blocks of more than `crowd` documents, exact and without a task that holds a whole block.
+    def compare(rows: DataFrame) -> DataFrame:
+        return rows.select("block", "doc_id", payload).repartition(count, "block").sortWithinPartitions("block").mapInArrow(scan, "src long, dst long")
 
-    Each block is dealt by hash to parts of about crowd / 2 documents, and a few pivots go to every part: links within parts and with pivots
-    join most of a block of copies to one component, its main. Pairs within the main need no test any more. What is
-    outside it (the rest) is then cut to bounded pieces, and each piece meets each part of the block, the rest's own parts included.
-    """
+    links, large = compare(members.where(F.col("size") <= crowd)), members.where(F.col("size") > crowd)
+    if large.isEmpty():
+        return links
     half = max(2, crowd // 2)
-    dealt = members.withColumn("parts", F.ceil(F.col("size") / half).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    pivot = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.col("size")) < 16
+    dealt = large.withColumn("parts", F.ceil(F.col("size") / half).cast("int")).withColumn("part", F.pmod(F.xxhash64("block", "doc_id"), F.col("parts")).cast("int"))
+    pivot = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.col("docs")) < 16
     wide = dealt.where(pivot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = F.xxhash64("block", "part")
-    first = spool(_compare(dealt.unionByName(wide).dropDuplicates(["block", "part", "doc_id"]).withColumn("block", key), percent, parts), "links")
-    label = components(first).withColumnRenamed("node", "doc_id")
-    known = dealt.select("block", "doc_id").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    first = spool(compare(dealt.unionByName(wide).dropDuplicates(["block", "part", "doc_id", payload]).withColumn("block", F.xxhash64("block", "part"))), "links")
+    known = dealt.select("block", "doc_id").distinct().join(components(first).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     main = known.groupBy("block", "component").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rest = dealt.join(known.join(main, "block").where("component != main").select("doc_id"), "doc_id", "left_semi")
-    counts = rest.groupBy("block").agg(F.count("*").alias("rest"))
-    piece = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("pieces"))
-    sized = counts.select("block", F.ceil(F.col("rest") / half).cast("int").alias("pieces"))
-    left = rest.join(sized, "block").withColumn("piece", piece.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    outside = spool(known.join(main, "block").where("component != main").select("block", "doc_id"), "outside")
+    share = F.count("*") * F.max("size") / F.max("docs")  # what the rest weighs, were its documents like the others
+    sized = outside.join(large.select("block", "size", "docs").distinct(), "block").groupBy("block").agg(F.ceil(share / half).cast("int").alias("pieces"))
+    rest = dealt.join(outside, ["block", "doc_id"], "left_semi").join(sized, "block")
+    piece = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("pieces")).cast("int")
+    left = rest.withColumn("piece", piece).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = dealt.join(sized, "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    columns = ["block", "part", "piece", "doc_id", "members"]
-    pairs = left.select(columns).union(right.select(columns)).dropDuplicates(columns[:4])
-    second = _compare(pairs.withColumn("block", F.xxhash64("block", "part", "piece")), percent, parts)
-    return first.union(second)
+    columns = ["block", "part", "piece", "doc_id", payload]
+    pairs = left.select(columns).union(right.select(columns)).dropDuplicates()
+    second = compare(pairs.withColumn("block", F.xxhash64("block", "part", "piece")))
+    return links.union(first).union(second)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, crowd: int = CROWD) -> DataFrame:
@@ -252,8 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     no shingles and no link. component_id is the smallest doc_id reachable over links, kept marks it. Rows that share a
     doc_id are one node with several sets; each row is returned. Rows without doc_id are returned unlinked (component null, kept).
     """
-    spark = prepare(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spool(docs.mapInArrow(_sketch(shingle), SKETCH), "sketch")
     known = sketch.where("doc_id is not null and n_shingles > 0")
@@ -262,18 +268,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     heads = spool(heads.select("doc_id", "signature", F.slice("near", 1, trees).alias("near"), F.slice("far", 1, trees).alias("far")), "heads")
     regions, shared = _regions(heads, crowd)
     spots = regions.join(heads.select("doc_id", "signature"), "doc_id")
-    near = spots.select("region", "doc_id", "signature").repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_candidates(LOOSE * percent / 85), "src long, dst long").distinct()
-    near = spool(near, "near")
+    near = spool(_link(spots, "signature", _candidates(LOOSE * percent / 85), crowd).distinct(), "near")
     release(shared, heads)
     blocks = components(near)
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
-    placed = blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "size")
-    members = docs.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "block", "size")
-    members = spool(members.mapInArrow(_sets(shingle), "block long, doc_id long, size long, members binary"), "members")
-    links = _compare(members.where(F.col("size") <= crowd), percent, parts)
-    if not members.where(F.col("size") > crowd).isEmpty():
-        links = links.union(_link_large(members.where(F.col("size") > crowd), percent, parts, crowd))
-    links = spool(links, "links")
+    # a block weighs its documents, or its shingles by SHINGLES if that is more
+    weights = blocks.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    sizes = weights.groupBy("component").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SHINGLES)).alias("size"), F.count("*").alias("docs"))
+    placed = blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "size", "docs")
+    members = docs.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "block", "size", "docs")
+    members = spool(members.mapInArrow(_sets(shingle), "block long, doc_id long, size long, docs long, members binary"), "members")
+    links = spool(_link(members, "members", _links(percent), crowd), "links")
     release(near, members)
     same = components(links)
     found = classes.join(same.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
