@@ -12,16 +12,22 @@ from kmerloom.plans.storage import release, remove, shared_dir, shared_path, spo
 ROOT = str(Path(__file__).resolve().parents[2])
 U64 = np.uint64
 #: Bytes of text that a kernel treats at once (one longer document is treated alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers and bounds the rows of an Arrow batch."""
+    """Makes this package importable in Python workers, has them give freed memory back, and bounds the rows of an Arrow batch.
+
+    Workers live as long as their executor: what their allocators kept would add up over the stages of a pipeline.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MALLOC_ARENA_MAX"):
         env.setdefault(name, "1")
+    for name in ("MALLOC_TRIM_THRESHOLD_", "MALLOC_MMAP_THRESHOLD_"):
+        env.setdefault(name, str(1 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 

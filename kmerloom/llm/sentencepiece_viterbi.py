@@ -12,6 +12,7 @@ No piece of such a file goes on past a blank, so a text is cut before each run o
 best paths of the cuts make the best path of the text. Cuts seen before are looked up.
 """
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 BLANK = "▁"
-KEPT = 500_000
+#: Words and cuts kept in a worker; when full, all are dropped and kept anew.
+KEPT = 150_000
 PLAIN, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -188,4 +190,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256): each whole text encoded, and the SHA-256 of what its ids decode to."""
-    return decode(encode(docs, path), path).select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    prepare(docs.sparkSession)
+
+    def scan(batches):
+        # both passes in one worker, so that a task holds the pieces once
+        for batch in _decode(path)(_encode(path)(batches)):
+            digests = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column(3).to_pylist()]
+            yield batch.set_column(3, "decoded_sha256", pa.array(digests, pa.string()))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")

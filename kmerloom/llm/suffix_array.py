@@ -28,7 +28,7 @@ from .common import _BYTE_SEEDS, ROLL_A, ROLL_B, U64, i64, merge_spans, mix, pre
 
 GRAM = 32
 #: Symbols of one suffix array, and variants from which an anchor's windows are dealt out by content.
-TEXT_SYMBOLS, HOT_VARIANTS = 1 << 19, 2048
+TEXT_SYMBOLS, HOT_VARIANTS = 1 << 18, 1024
 #: Symbols (257 values, so 9 bits) in one comparison key.
 STEP = 7
 
@@ -185,7 +185,7 @@ def _runs(length: int, k: int):
     return scan
 
 
-def _segments(length: int, salts: int):
+def _segments(length: int):
     """The bytes of each run in `heads` (anchor, at, variants); runs of hot anchors window by window, salted by content."""
 
     def scan(batches):
@@ -196,12 +196,14 @@ def _segments(length: int, salts: int):
             m, at, variants = (heads.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
             begin, size = offsets[row] + (at >> 16), at & 0xFFFF
             whole = begin + size + length - 1 <= offsets[row + 1]
-            m, at, row, begin, size, hot = m[whole], at[whole], row[whole], begin[whole], size[whole], (variants > HOT_VARIANTS)[whole]
+            m, at, row, begin, size, variants = (x[whole] for x in (m, at, row, begin, size, variants))
+            hot = variants > HOT_VARIANTS
             salt = np.zeros(len(m), np.int64)
             if hot.any():
                 p = ROLL_B.prefix(_BYTE_SEEDS[data])
                 places, owner = ranges(begin[hot], size[hot]), np.repeat(np.flatnonzero(hot), size[hot])
-                cut = (mix(ROLL_B.spans(p, places, places + length)) % U64(salts)).astype(np.int64) + 1
+                # the same for all runs of an anchor: as many groups as keep each to some hundred windows
+                cut = (mix(ROLL_B.spans(p, places, places + length)) % (variants[owner] // 8 + 1).astype(U64)).astype(np.int64) + 1
                 m, row, begin, size, salt = (np.concatenate([x[~hot], y]) for x, y in ((m, m[owner]), (row, row[owner]), (begin, places), (size, np.ones(len(places), np.int64)), (salt, cut)))
             stop = begin + size + length - 1
             raw = data.tobytes()
@@ -277,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM) -> DataFra
     heads = paths.where("doc = first.doc and at = first.at and variants > 1").groupBy("doc").agg(F.collect_set(F.struct("m", "at", "variants")).alias("heads"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = docs.join(heads.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "heads")
-    segments = segments.mapInArrow(_segments(length, 1024), "m long, salt long, doc long, start long, segment binary")
+    segments = segments.mapInArrow(_segments(length), "m long, salt long, doc long, start long, segment binary")
     later = segments.repartition(parts, "m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_sorted_groups(length), "doc long, at long")
     out = spool(copies.union(later), "spans")
     release(paths)

@@ -77,14 +77,28 @@ def test_suffix_array_dedup(docs, texts, length):
     assert sum(v[1] for v in expected.values()) > 1000
 
 
-def test_suffix_array_dedup_hot_anchors(docs, texts, monkeypatch):
-    # every anchor is hot, and every text of the sorter is small
-    monkeypatch.setattr(suffix_array, "HOT_VARIANTS", 1)
+def test_suffix_array_dedup_hot_anchors(spark, texts, docs, monkeypatch):
+    # every branching anchor is hot: its windows are cut and salted one by one, and each text of the sorter is small
     monkeypatch.setattr(suffix_array, "TEXT_SYMBOLS", 500)
-    spans = suffix_array._segments(20, 8), suffix_array._sorted_groups(20)
-    assert spans
-    data = "abcdefghij" * 6
-    raw = np.frombuffer(data.encode() * 2, np.uint8)
+    scan = suffix_array._segments(33)
+    monkeypatch.setattr(suffix_array, "_segments", lambda length: _hot(scan))
+    got = by_id(suffix_array.suffix_array_dedup(docs, 33), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == repeated_bytes([r[:2] for r in texts], 33)
+
+
+def _hot(scan):
+    def run(batches):
+        before, suffix_array.HOT_VARIANTS = suffix_array.HOT_VARIANTS, 1
+        try:
+            yield from scan(batches)
+        finally:
+            suffix_array.HOT_VARIANTS = before
+
+    return run
+
+
+def test_places_of_equal_strings():
+    raw = np.frombuffer(b"abcdefghijklmnopqrst" * 6, np.uint8)
     classes = suffix_array.repeated_places(raw, np.array([0, 60, 120]), 20)
     assert (classes[:41] == classes[60:101]).all() and (classes[41:60] == -1).all()
 
