@@ -4,9 +4,8 @@ Each document's set of word shingles gets a signature of minimum hashes. Each tr
 its own few signature values, so neighbours in a tree's order share a prefix:
 
 1. Documents with equal sets are one class; only a class's smallest document goes on.
-2. A region is a maximal stretch of a tree's order with one common prefix of `base` values. A region of more than
-   `crowd` documents is cut at the longer prefix of `deep` values: depth adapts to how dense the region is.
-   Regions of one are left out by a count that is combined before its shuffle.
+2. A region is a maximal stretch of a tree's order with one common prefix of `DEPTH` values, however many documents it
+   has: a longer prefix for dense regions would lose more pairs. Regions of one are left out by a count that is combined before its shuffle.
 3. Within a region, neighbours are compared by their whole signatures, and those of a similarity that may reach the
    threshold (far below it, so chance doesn't lose a pair) are joined to candidate blocks over all trees.
 4. Each block compares full sets. A search from each document that isn't yet linked tests all documents not yet reached,
@@ -15,6 +14,8 @@ its own few signature values, so neighbours in a tree's order share a prefix:
 Regions and blocks of more than `crowd` documents are dealt to parts and compared all the same: see _link.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,14 +25,13 @@ from kmerloom.operators.graph import components
 
 from .common import LOWER, U64, WORD_A, WORD_B, i64, mix, prepare, release, spool, text_slices, word_hashes, words
 
-TREES, BASE, DEEP, CROWD = 20, 4, 6, 2000
+#: A tree has VALUES of a signature's values and is ordered by the first DEPTH of them.
+TREES, DEPTH, VALUES, CROWD = 20, 4, 6, 2000
 #: Shingles that weigh as much as one document where a block's size is bounded.
 SHINGLES = 1000
-#: Share of equal signature values from which full sets are compared: 0.85 less five standard deviations of 120 values.
-LOOSE = 0.69
 _RNG = np.random.default_rng(20240607)
-_FLIP = _RNG.integers(0, 1 << 32, TREES * DEEP, np.uint32)
-_SPIN = _RNG.integers(0, 1 << 32, TREES * DEEP, np.uint32) | np.uint32(1)
+_FLIP = _RNG.integers(0, 1 << 32, TREES * VALUES, np.uint32)
+_SPIN = _RNG.integers(0, 1 << 32, TREES * VALUES, np.uint32) | np.uint32(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +58,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of TREES * DEEP minimum hashes for each non-empty set."""
+    """One row of TREES * VALUES minimum hashes for each non-empty set."""
     folded = (values >> U64(32)).astype(np.uint32)
-    out = np.empty((TREES * DEEP, len(bounds) - 1), np.uint32)
+    out = np.empty((TREES * VALUES, len(bounds) - 1), np.uint32)
     work = np.empty_like(folded)
-    for i in range(TREES * DEEP):
+    for i in range(TREES * VALUES):
         np.bitwise_xor(folded, _FLIP[i], out=work)
         np.multiply(work, _SPIN[i], out=work)
         np.bitwise_xor(work, work >> np.uint32(15), out=work)
@@ -70,7 +70,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.T
 
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, signature binary, near array<long>, far array<long>"
+SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, signature binary, near array<long>"
 
 
 def _sketch(size: int):
@@ -82,21 +82,19 @@ def _sketch(size: int):
             k1, k2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
             sig: list = [None] * len(n)
             near: list = [None] * len(n)
-            far: list = [None] * len(n)
             if len(full):
                 cut = np.r_[bounds[full], bounds[-1]]
                 k1[full] = np.add.reduceat(mix(values), cut[:-1])
                 k2[full] = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), cut[:-1])
                 rows = signatures(values, cut)
-                trees = rows.reshape(len(full), TREES, DEEP).astype(U64)
-                weights = mix(np.arange(1, DEEP + 1, dtype=U64))
-                for depth, into in ((BASE, near), (DEEP, far)):
-                    keys = mix((mix(trees[:, :, :depth] + np.arange(TREES, dtype=U64)[None, :, None] * U64(1 << 33)) * weights[:depth]).sum(axis=2)).view(np.int64)
-                    for i, x in zip(full.tolist(), keys.tolist(), strict=True):
-                        into[i] = x
+                trees = rows.reshape(len(full), TREES, VALUES)[:, :, :DEPTH].astype(U64)
+                weights = mix(np.arange(1, DEPTH + 1, dtype=U64))
+                keys = mix((mix(trees + np.arange(TREES, dtype=U64)[None, :, None] * U64(1 << 33)) * weights).sum(axis=2)).view(np.int64)
+                for i, x in zip(full.tolist(), keys.tolist(), strict=True):
+                    near[i] = x
                 for i, x in zip(full.tolist(), rows.astype(np.uint8), strict=True):
                     sig[i] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), i64(n), i64(k1), i64(k2), pa.array(sig, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "signature", "near", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), i64(n), i64(k1), i64(k2), pa.array(sig, pa.binary()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "signature", "near"])
 
     return scan
 
@@ -151,18 +149,20 @@ def _candidates(least: float):
     return scan
 
 
-def _regions(reps: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(block, doc_id, size, docs): every region of two or more, at its adapted depth; and the table that it reads."""
-    spots = reps.select("doc_id", F.posexplode(F.arrays_zip("near", "far")).alias("tree", "key")).select("doc_id", F.col("key.near").alias("near"), F.col("key.far").alias("far"))
-    spots = spool(spots, "spots")
+def loose(percent: int) -> float:
+    """Share of equal signature values from which full sets are compared: the threshold less five standard deviations of the share."""
+    same = min(100, percent) / 100
+    return max(0.0, same - 5 * math.sqrt(same * (1 - same) / (TREES * VALUES)))
+
+
+def _regions(reps: DataFrame) -> DataFrame:
+    """(block, doc_id, size, docs): every region of two or more."""
+    spots = spool(reps.select("doc_id", F.explode("near").alias("block")), "spots")
     several = [F.count("*").alias("size"), F.count("*").alias("docs"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
-    sizes = spool(spots.groupBy("near").agg(*several).where("lo < hi").select("near", "size", "docs"), "sizes")
-    shared = spool(spots.join(sizes, "near"), "shared")
+    sizes = spool(spots.groupBy("block").agg(*several).where("lo < hi").select("block", "size", "docs"), "sizes")
+    shared = spool(spots.join(sizes, "block").select("block", "doc_id", "size", "docs"), "shared")
     release(spots, sizes)
-    dense = shared.where(F.col("size") > crowd).drop("size", "docs")
-    again = dense.groupBy("far").agg(*several).where("lo < hi").select("far", "size", "docs")
-    cut = shared.where(F.col("size") <= crowd).select(F.col("near").alias("block"), "doc_id", "size", "docs").union(dense.join(again, "far").select(F.col("far").alias("block"), "doc_id", "size", "docs"))
-    return cut, shared
+    return shared
 
 
 def _sets(size: int):
@@ -265,11 +265,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     known = sketch.where("doc_id is not null and n_shingles > 0")
     classes = spool(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = known.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles"), ["doc_id", "k1", "k2", "n_shingles"], "left_semi")
-    heads = spool(heads.select("doc_id", "signature", F.slice("near", 1, trees).alias("near"), F.slice("far", 1, trees).alias("far")), "heads")
-    regions, shared = _regions(heads, crowd)
+    heads = spool(heads.select("doc_id", "signature", F.slice("near", 1, trees).alias("near")), "heads")
+    regions = _regions(heads)
     spots = regions.join(heads.select("doc_id", "signature"), "doc_id")
-    near = spool(_link(spots, "signature", _candidates(LOOSE * percent / 85), crowd).distinct(), "near")
-    release(shared, heads)
+    near = spool(_link(spots, "signature", _candidates(loose(percent)), crowd).distinct(), "near")
+    release(regions, heads)
     blocks = components(near)
     # a block weighs its documents, or its shingles by SHINGLES if that is more
     weights = blocks.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")

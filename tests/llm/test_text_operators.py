@@ -164,6 +164,28 @@ def test_near_duplicates(docs, texts, shingle, percent, crowd):
     assert sum(not v[2] for v in expected.values()) > 8
 
 
+def test_crowded_regions_lose_no_pair(spark):
+    """Families with a similarity near the threshold: a region of more than `crowd` texts is searched as whole as a small one."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(40):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(6):
+            copy = list(base)
+            copy[rng.integers(0, 120)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few, many = (by_id(minhash.near_duplicates(df, 5, 80, trees=2, crowd=crowd), "doc_id", "component_id") for crowd in (2, 2000))
+    assert few == many
+    assert by_id(minhash.near_duplicates(df, 5, 80, crowd=2), "doc_id", "n_shingles", "component_id", "kept") == linked(rows, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
+def test_signatures_at_the_threshold_pass(percent):
+    same = percent / 100
+    assert minhash.loose(percent) <= same - 5 * (same * (1 - same) / 120) ** 0.5 + 1e-12
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == 7
