@@ -41,10 +41,8 @@ def _whole_characters(raw):
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; those that it doesn't take go."""
-    copies = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.select(*COLUMNS).join(copies.hint("shuffle_hash"), "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each row as many times as the mix takes it; those that it doesn't take go. Rows without doc_id or with a repeated one are rows like others."""
+    return mixing.take(docs.select(*COLUMNS), COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

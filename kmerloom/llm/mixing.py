@@ -157,9 +157,35 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     Rows that share a doc_id, and rows without one, are documents of their own, told apart by their place among their likes.
     An empty table gives an empty result.
     """
+    return _copies(docs, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take(docs: DataFrame, carry: tuple[str, ...], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """Columns `carry` of every row of docs (doc_id, text, source), each row as often as mix_sources takes it.
+
+    Rows that share doc_id (or have none), source and size take their copies in the order of `carry`.
+    """
+    # plain keys for what may be null, so that the window and the join need one exchange of the texts
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("key_id"), F.isnull(F.col("doc_id").cast("long")).alias("key_no_id"), F.coalesce("source", F.lit("")).alias("key_source"), F.isnull("source").alias("key_no_source")]
+    names = ["key_id", "key_no_id", "key_source", "key_no_source", "key_size"]
+    copies = _copies(docs, weights, share, most, seed).select(*keys, F.col("size").alias("key_size"), "turn", "copies")
+    copies = copies.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "copies"))), lambda x: x["copies"]).alias("key_copies"))
+    rows = docs.select(*keys, _size().alias("key_size"), F.struct(*carry).alias("row"))
+    rows = rows.withColumn("key_turn", F.row_number().over(Window.partitionBy(*names).orderBy("row")))
+    taken = rows.join(copies.hint("shuffle_hash"), names).withColumn("key_times", F.element_at("key_copies", F.col("key_turn"))).where("key_times > 0")
+    return taken.withColumn("key_time", F.explode(F.sequence(F.lit(1), F.col("key_times")))).select("row.*")
+
+
+def _size():
+    """Words of a text; null has none."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _copies(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """(doc_id, source, size, turn, source_size, target, copies) of every row of docs; turn counts, from 1, rows alike in the three before it."""
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"))
     rows = spool(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = spool(targets(sizes.select("source", "source_size"), weights, share, most), "targets")
@@ -193,6 +219,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
-    facts = goal.join(known.select("source_no", "whole").distinct(), "source_no").select("source_no", "source_size", "target", "whole")
+    facts = goal.join(known.select("source_no", "whole").distinct(), "source_no").select("source_no", "source", "source_size", "target", "whole")
     out = out.drop("source_size").join(facts, "source_no").withColumn("copies", (F.col("whole") + F.when(F.col("fraction") > 0.5, 1).otherwise(0)).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "source", "size", "turn", "source_size", "target", "copies")

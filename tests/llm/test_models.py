@@ -2,11 +2,12 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from kmerloom.llm import language_id, queries, topk
+from kmerloom.llm import language_id, mixing, queries, topk
 
 SYLLABLES = {"en": ["the", "ing", "ou", "th", "er"], "de": ["sch", "ung", "ei", "der", "ü"], "fr": ["eau", "que", "é", "ou", "les"], "es": ["ción", "os", "ñ", "que", "el"], "xx": ["zzk", "qwx", "vv"]}
 
@@ -95,6 +96,43 @@ def test_pipeline(spark, texts, docs, tmp_path):
     assert direct == sorted(map(tuple, now.collect()))
 
 
+def test_pipeline_keeps_odd_rows(spark, odd, tmp_path):
+    """Rows without doc_id, or with a repeated one, pass every stage; the mix takes each by its own number of copies."""
+    import corpus_pipeline
+
+    now, ids = odd, {None, 1, 2}
+    for name, stage in corpus_pipeline.STAGES:
+        before = Counter(map(tuple, now.select(*corpus_pipeline.COLUMNS).collect()))
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        rows = now.collect()
+        if name == "mixing":
+            assert set(map(tuple, rows)) <= set(before)
+        assert {r.doc_id for r in rows} <= ids
+        assert any(r.doc_id is None for r in rows)
+
+
+def test_mixing_stage_takes_what_the_mix_says(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, i, i // 4]), text(rng, "en", rng.randint(0, 30)), "en", rng.choice([None, "a", "b"]), 1) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    words = {r: len(r[1].split()) for r in rows}
+    got = Counter(map(tuple, corpus_pipeline.mixed(spark, df, "").collect()))
+    expected = Counter()
+    for r in mixing.mix_sources(df).collect():
+        expected[r.doc_id, r.size, r.source_size] += r.copies
+    size = Counter()
+    for r in rows + rows[:20]:
+        size[r[3]] += words[r]
+    found = Counter()
+    for r, n in got.items():
+        found[r[0], words[r], size[r[3]]] += n
+    assert found == +expected
+    assert got == Counter(map(tuple, corpus_pipeline.mixed(spark, df.repartition(5), "").collect()))
+
+
 def test_registry():
     import __spark_entry__
 
