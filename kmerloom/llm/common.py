@@ -25,8 +25,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MALLOC_ARENA_MAX"):
         env.setdefault(name, "1")
-    for name in ("MALLOC_TRIM_THRESHOLD_", "MALLOC_MMAP_THRESHOLD_"):
-        env.setdefault(name, str(1 << 20))
+    # kernels work on arrays of a few MB: an allocator that returns each at once spends more time on page faults than on sums
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 25))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 26))
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
@@ -87,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any span of a sequence of 64-bit symbols from one prefix sum: sum of symbol * base**i, scaled back by base**-start, modulo 2**64."""
+    """Hashes of every k consecutive symbols, modulo 2**64: they choose anchors and order rows, never tell contents apart."""
 
     def __init__(self, base: int):
         self.base = base | 1
@@ -104,23 +105,83 @@ class Rolling:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
+    def grams(self, symbols: np.ndarray, k: int) -> np.ndarray:
+        """Hash of every k consecutive symbols, from running sums of symbol * base**i, scaled back by base**-start."""
+        n = len(symbols) - k + 1
+        if n <= 0:
+            return np.zeros(0, U64)
+        self._powers(len(symbols))
+        sums = np.zeros(len(symbols) + 1, U64)
+        np.cumsum(symbols * self.up[: len(symbols)], out=sums[1:])
+        return (sums[k:] - sums[:n]) * self.down[:n]
+
+
+PRIME = (1 << 61) - 1
+_P, _M31, _M30 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, below it."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it, from halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> U64(31), a & _M31, b >> U64(31), b & _M31
+    middle = a0 * b1 + a1 * b0
+    return _reduced(((a1 * b1) << U64(1)) + (middle >> U64(30)) + ((middle & _M30) << U64(31)) + a0 * b0)
+
+
+class Polynomial:
+    """Hashes of any span of a sequence of symbols: the polynomial of its symbols modulo the prime 2**61 - 1, at a fixed place.
+
+    Two different spans of n symbols are equal at n - 1 places of 2**61 at most. Symbols are bytes (each counts as its value plus 1) or numbers of
+    64 bits. Hashes come from running sums of symbol * base**i, scaled back by base**-start.
+    """
+
+    STEP = 1 << 14
+
+    def __init__(self, base: int):
+        self.base = base % PRIME
+        self.up = self.down = self.low = self.high = np.ones(1, U64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) >= n:
+            return
+        size = 1 << max(10, n - 1).bit_length()
+        for name, base in (("up", self.base), ("down", pow(self.base, -1, PRIME))):
+            p = np.ones(size, U64)
+            done = 1
+            while done < size:
+                p[done : 2 * done] = _times(p[:done], U64(pow(base, done, PRIME)))
+                done *= 2
+            setattr(self, name, p)
+        self.low, self.high = self.up & _M31, self.up >> U64(31)
+
     def prefix(self, symbols: np.ndarray) -> np.ndarray:
-        self._powers(len(symbols) + 1)
-        out = np.zeros(len(symbols) + 1, U64)
-        np.cumsum(symbols * self.up[: len(symbols)], out=out[1:])
+        n = len(symbols)
+        self._powers(n + 1)
+        out = np.zeros(n + 1, U64)
+        for lo in range(0, n, self.STEP):
+            hi = min(n, lo + self.STEP)
+            part = symbols[lo:hi]
+            if part.dtype == np.uint8:
+                part = part.astype(U64) + U64(1)
+                low, high = np.cumsum(part * self.low[lo:hi]), np.cumsum(part * self.high[lo:hi])
+            else:
+                part = _times(_reduced(part), self.up[lo:hi])
+                low, high = np.cumsum(part & _M31), np.cumsum(part >> U64(31))
+            out[lo + 1 : hi + 1] = _reduced((high >> U64(30)) + ((high & _M30) << U64(31)) + low + out[lo])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (prefix[stop] - prefix[start]) * self.down[start]
-
-    def grams(self, prefix: np.ndarray, k: int) -> np.ndarray:
-        """Hash of every k consecutive symbols."""
-        n = len(prefix) - k
-        return (prefix[k:] - prefix[:n]) * self.down[:n] if n > 0 else np.zeros(0, U64)
+        apart = prefix[stop] + (_P - prefix[start])
+        return _times(np.where(apart >= _P, apart - _P, apart), self.down[start])
 
 
-ROLL_A, ROLL_B = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
-WORD_A, WORD_B = Rolling(0x165667B19E3779F9), Rolling(0x27D4EB2F165667C5)
+ROLL = Rolling(0x9E3779B97F4A7C15)
+POLY_A, POLY_B = Polynomial(0x1B2F8A6D5C3E9741), Polynomial(0x0D4C83F1A7E2965B)
 _BYTE_SEEDS = mix(np.arange(1, 257, dtype=U64) * U64(0x9FB21C651E98DF25))
 #: Word separators of every contract: blank and the control characters 9 to 13.
 SEPARATOR = np.zeros(256, bool)
@@ -149,8 +210,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     """A mixed 64-bit hash of every word."""
     if not len(start):
         return np.zeros(0, U64)
-    p = ROLL_A.prefix(_BYTE_SEEDS[data])
-    return mix(ROLL_A.spans(p, start, stop) + (stop - start).astype(U64))
+    return mix(POLY_A.spans(POLY_A.prefix(data), start, stop) ^ ((stop - start).astype(U64) << U64(61)))
 
 
 def sliding_argmin(order: np.ndarray, width: int) -> np.ndarray:

@@ -1,13 +1,15 @@
 """Operator 8, document fingerprints by a homomorphic multiset hash.
 
-A text is a multiset of paragraphs: it is cut after every line end and, within lines, after each sentence's mark and blank, nothing being left
-out. Each paragraph is hashed to a wide vector and a text's fingerprint is the sum of its paragraphs' vectors, lane by lane
-modulo a power of two. So the order of paragraphs doesn't matter, equal multisets have equal fingerprints, and a
-paragraph is inserted or deleted by adding or subtracting its vector.
+A text is a multiset of paragraphs: it is cut at every line end and, within lines, at the blank after a sentence's mark. The line end or
+blank isn't part of the paragraph before it, so the last paragraph is equal to the same one elsewhere; these terminators are
+items of their own, and nothing is left out. Each item is hashed to a wide vector and a text's fingerprint is the sum of its items'
+vectors, lane by lane modulo a power of two. So the order of paragraphs doesn't matter, equal multisets have equal
+fingerprints, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts: DENSE lanes of 64 random bits (sums modulo 2**64), which tell different multisets apart, and SIGNS
 lanes of +1 or -1 (sums modulo 2**16), whose differences estimate how many paragraphs two texts don't share: the mean square of
-the difference is the size of the multisets' difference, weighted by the square of how often each occurs.
+the difference is the size of the multisets' difference, weighted by the square of how often each occurs. Terminators
+count in the dense lanes alone: there are as many as paragraphs and all are alike.
 """
 
 import hashlib
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_SEEDS, ROLL_A, ROLL_B, U64, mix, prepare
+from .common import POLY_A, POLY_B, SLICE_BYTES, U64, mix, prepare
 from .ranges import bounds, part_of
 
 DENSE, SIGNS = 8, 128
@@ -26,42 +28,56 @@ _LANES = mix(np.arange(1, DENSE + SIGNS // 64 + 1, dtype=U64) * U64(0xA0761D6478
 _LINE, _BLANK, _MARKS = 10, 32, np.isin(np.arange(256), [33, 46, 63])
 
 
-def paragraph_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte places at which paragraphs begin: at each document's first byte, after a line end, after a mark and its blank."""
+def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop byte of each paragraph, and whether a line end (1), a blank (2) or the text's end (0) follows it; paragraphs may be empty."""
     n = len(data)
+    ends = data == _LINE
+    ends[1:] |= (data[1:] == _BLANK) & _MARKS[data[:-1]]
+    ends[offsets[:-1][np.diff(offsets) > 0]] = data[offsets[:-1][np.diff(offsets) > 0]] == _LINE  # a mark of the text before ends nothing here
+    after = np.flatnonzero(ends)
     first = np.zeros(n + 1, bool)
-    first[1:] = data == _LINE
-    first[2:] |= (data[1:] == _BLANK) & _MARKS[data[:-1]] if n > 1 else False
+    first[after + 1] = True
     first[offsets] = True
-    return np.flatnonzero(first[:n])
+    start = np.flatnonzero(first[:n])
+    stop = np.r_[start[1:], n] if len(start) else start
+    closed = ends[stop - 1] if len(start) else np.zeros(0, bool)
+    kind = np.where(closed, np.where(data[stop - 1] == _LINE, 1, 2), 0) if len(start) else start
+    return start, stop - closed, kind
 
 
-def vectors(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of the paragraphs data[start:stop]: DENSE lanes of 64 bits, SIGNS lanes of +1 or -1."""
-    symbols = _BYTE_SEEDS[data]
+def vectors(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Vectors of the paragraphs data[start:stop]: DENSE lanes of 64 bits, then the bits of the signs."""
     size = (stop - start).astype(U64)
-    a = mix(ROLL_A.spans(ROLL_A.prefix(symbols), start, stop) + size)
-    b = mix(ROLL_B.spans(ROLL_B.prefix(symbols), start, stop) ^ size)
-    lanes = mix((a[:, None] + _LANES) ^ mix(b[:, None] * _LANES))
+    a = mix(POLY_A.spans(POLY_A.prefix(data), start, stop) + size)
+    b = mix(POLY_B.spans(POLY_B.prefix(data), start, stop) ^ size)
+    return mix((a[:, None] + _LANES) ^ mix(b[:, None] * _LANES))
+
+
+def _signs(lanes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(np.ascontiguousarray(lanes[:, DENSE:]).view(np.uint8), axis=1)
-    return lanes[:, :DENSE], bits.astype(np.int16) * 2 - 1
+    return bits.astype(np.int16) * 2 - 1
+
+
+#: What a line end and a blank after a mark add to the dense lanes.
+_TERMINATORS = np.concatenate([np.zeros((1, DENSE), U64), mix(_LANES[None, :DENSE] ^ mix(np.array([[1], [2]], U64) * U64(0xE7037ED1A0B428DB)))])
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """One row of BYTES bytes for each text; an empty text has no paragraph, so zeros."""
     out = np.zeros((len(texts), BYTES), np.uint8)
-    if not texts:
-        return out
     data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
-    start = paragraph_starts(data, offsets)
-    if not len(start):
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+    if not len(data):
         return out
-    dense, signs = vectors(data, start, np.r_[start[1:], len(data)])
+    start, stop, kind = paragraphs(data, offsets)
+    full = stop > start
+    lanes = vectors(data, start, stop)
+    signs = _signs(lanes) * full[:, None].astype(np.int16)
+    dense = np.where(full[:, None], lanes[:, :DENSE], U64(0)) + _TERMINATORS[kind]
     edges = np.searchsorted(start, offsets)
-    full = np.flatnonzero(np.diff(edges))
-    out[full, : DENSE * 8] = np.add.reduceat(dense, edges[full], axis=0).astype("<u8").view(np.uint8)
-    out[full, DENSE * 8 :] = np.add.reduceat(signs, edges[full], axis=0, dtype=np.int16).astype("<i2").view(np.uint8)
+    rows = np.flatnonzero(np.diff(edges))
+    out[rows, : DENSE * 8] = np.add.reduceat(dense, edges[rows], axis=0).astype("<u8").view(np.uint8)
+    out[rows, DENSE * 8 :] = np.add.reduceat(signs, edges[rows], axis=0, dtype=np.int16).astype("<i2").view(np.uint8)
     return out
 
 
@@ -82,10 +98,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     sa, sb = (_parts(x)[1].astype(np.float64) for x in (a, b))
     apart = np.square((sa - sb + 32768) % 65536 - 32768).sum(axis=1)
     both = np.square(sa).sum(axis=1) + np.square(sb).sum(axis=1)
-    same = (a == b).all(axis=1)
+    same = (np.ascontiguousarray(a) == np.ascontiguousarray(b)).all(axis=1)
     return np.where(same, 1.0, np.clip(1 - apart / np.maximum(both, 1), 0, 1 - 1e-9))
 
 
+def _slices(column: list, most: int = SLICE_BYTES):
+    """(first, last + 1) of stretches of about `most` characters, a row at least."""
+    lo, held = 0, 0
+    for i, text in enumerate(column):
+        held += len(text or "")
+        if held >= most:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(column):
+        yield lo, len(column)
+
+
 def _compare():
     """Rows (part, carry, doc_id, text) by part and ascending id; each but the carried ones is compared with the row before, which comes next in descending order."""
 
@@ -94,8 +122,7 @@ def _compare():
         for batch in batches:
             parts, carry, ids = (batch.column(i).to_pylist() for i in range(3))
             column = batch.column(3).to_pylist()
-            for lo in range(0, len(parts), 250):
-                hi = min(lo + 250, len(parts))
+            for lo, hi in _slices(column):
                 texts = [x or "" for x in column[lo:hi]]
                 prints = fingerprints([t.encode() for t in texts])
                 if last_print is None:

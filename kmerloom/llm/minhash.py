@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.graph import components
 
-from .common import LOWER, U64, WORD_A, WORD_B, i64, mix, prepare, release, spool, text_slices, word_hashes, words
+from .common import LOWER, POLY_A, POLY_B, U64, i64, mix, prepare, release, spool, text_slices, word_hashes, words
 
 #: A tree has VALUES of a signature's values and is ordered by the first DEPTH of them.
 TREES, DEPTH, VALUES, CROWD = 20, 4, 6, 2000
@@ -40,7 +40,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     start, stop, bounds = words(data, offsets)
     hashes = word_hashes(data, start, stop)
     counts = np.diff(bounds)
-    prefix, other = WORD_A.prefix(hashes), WORD_B.prefix(hashes)
+    prefix, other = POLY_A.prefix(hashes), POLY_B.prefix(hashes)
     doc = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(hashes))
     whole = place + size <= bounds[doc + 1] if len(doc) else np.zeros(0, bool)
@@ -48,7 +48,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     begin = np.r_[place[whole], bounds[short]]
     end = np.r_[place[whole] + size, bounds[short + 1]]
     owner = np.r_[doc[whole], short]
-    value = mix(WORD_A.spans(prefix, begin, end) ^ mix(WORD_B.spans(other, begin, end)) ^ (end - begin).astype(U64)) if len(begin) else np.zeros(0, U64)
+    value = mix(POLY_A.spans(prefix, begin, end) ^ mix(POLY_B.spans(other, begin, end)) ^ (end - begin).astype(U64)) if len(begin) else np.zeros(0, U64)
     by = np.lexsort((value, owner))
     owner, value = owner[by], value[by]
     first = np.ones(len(value), bool)

@@ -10,9 +10,12 @@ One suffix array of a whole corpus doesn't fit one machine, so the corpus is cut
 2. Equal runs are folded to the earliest; each string of a later one is repeated. The aggregation is combined before its
    shuffle, so that thousands of copies cost one segment.
 3. The segments (run with the bytes that its windows span) of each anchor with several variants go to one group. Groups are
-   concatenated to texts of bounded size, and each such text gets its suffix array. Anchors with very many variants are cut
-   by window and salted by the windows' contents, so that no group is larger than a text.
+   concatenated to texts of bounded size, and each such text gets its suffix array. Anchors of more than HOT_VARIANTS
+   variants are cut by window, and equal windows folded like runs before any byte travels: however many contexts a
+   passage has, its windows come once. Different windows are then dealt to groups of some hundred by their contents.
 4. Suffixes whose adjacent common prefixes reach `length` are equal strings; all but the earliest are removed.
+5. What folding alone found equal (whole runs, windows of hot anchors) is compared byte by byte with its source at the source's
+   coordinates (see coordinates.py) before it is removed.
 """
 
 import hashlib
@@ -23,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import RUNS, folded, repeated, runs_of
-from .common import _BYTE_SEEDS, ROLL_A, ROLL_B, U64, i64, merge_spans, mix, prepare, ranges, release, spool, text_slices
+from .anchors import RUNS, repeated, runs_of, variants_of
+from .common import _BYTE_SEEDS, POLY_A, POLY_B, U64, i64, merge_spans, mix, prepare, ranges, release, spool, text_slices
+from .coordinates import cell_rows, confirmable, confirmed, spans
 
 GRAM = 32
-#: Symbols of one suffix array, and variants from which an anchor's windows are dealt out by content.
-TEXT_SYMBOLS, HOT_VARIANTS = 1 << 18, 1024
+#: Symbols of one suffix array, and variants from which an anchor's windows are folded and dealt out by content.
+TEXT_SYMBOLS, HOT_VARIANTS = 1 << 19, 1024
 #: Symbols (257 values, so 9 bits) in one comparison key.
 STEP = 7
+#: Bytes of a source that one digest covers at most.
+GRID = 4096
 
 
 def _keys(text: np.ndarray) -> np.ndarray:
@@ -179,38 +185,51 @@ def _runs(length: int, k: int):
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            m, h, doc, at, size = runs_of(_BYTE_SEEDS[data], offsets, length, k, ROLL_A, ROLL_B)
-            yield pa.RecordBatch.from_arrays([i64(m), i64(h), i64(ids[doc]), i64(at << 16 | size)], ["m", "h", "doc", "at"])
+            m, h, doc, first, size = runs_of(_BYTE_SEEDS[data], POLY_A.prefix(data), offsets, length, k, POLY_A)
+            yield pa.RecordBatch.from_arrays([i64(m), i64(h), i64(ids[doc]), i64((first - offsets[doc]) << 16 | size)], ["m", "h", "doc", "at"])
+
+    return scan
+
+
+def _asked(batch: pa.RecordBatch, offsets: np.ndarray, length: int, fields: int):
+    """Ids of a slice's documents; then row, fields and first byte of each run asked for, as far as it lies inside its row's text."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    heads = batch.column(2)
+    row = np.repeat(np.arange(len(ids)), heads.value_lengths().to_numpy(zero_copy_only=False))
+    columns = [heads.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(fields)]
+    at = columns[1]
+    begin = offsets[row] + (at >> 16)
+    whole = begin + (at & 0xFFFF) + length - 1 <= offsets[row + 1]  # rows that share an id may have other texts
+    return ids, row[whole], [x[whole] for x in columns], begin[whole]
+
+
+def _windows(length: int):
+    """Each window of the runs in `heads` (anchor, at, variants): anchor, a hash of its bytes, document, start, variants."""
+
+    def scan(batches):
+        for batch, data, offsets in text_slices(batches):
+            ids, row, (m, at, variants), begin = _asked(batch, offsets, length, 3)
+            size = at & 0xFFFF
+            one, two = POLY_A.prefix(data), POLY_B.prefix(data)
+            places, owner = ranges(begin, size), np.repeat(np.arange(len(m)), size)
+            w = mix(POLY_B.spans(two, places, places + length) ^ mix(POLY_A.spans(one, places, places + length)))
+            yield pa.RecordBatch.from_arrays([i64(m[owner]), i64(w), i64(ids[row[owner]]), i64(places - offsets[row[owner]]), i64(variants[owner])], ["m", "w", "doc", "start", "variants"])
 
     return scan
 
 
 def _segments(length: int):
-    """The bytes of each run in `heads` (anchor, at, variants); runs of hot anchors window by window, salted by content."""
+    """The bytes of each run in `heads` (anchor, at, salt)."""
 
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            heads = batch.column(2)
-            row = np.repeat(np.arange(len(ids)), heads.value_lengths().to_numpy(zero_copy_only=False))
-            m, at, variants = (heads.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            begin, size = offsets[row] + (at >> 16), at & 0xFFFF
-            whole = begin + size + length - 1 <= offsets[row + 1]
-            m, at, row, begin, size, variants = (x[whole] for x in (m, at, row, begin, size, variants))
-            hot = variants > HOT_VARIANTS
-            salt = np.zeros(len(m), np.int64)
-            if hot.any():
-                p = ROLL_B.prefix(_BYTE_SEEDS[data])
-                places, owner = ranges(begin[hot], size[hot]), np.repeat(np.flatnonzero(hot), size[hot])
-                # the same for all runs of an anchor: as many groups as keep each to some hundred windows
-                cut = (mix(ROLL_B.spans(p, places, places + length)) % (variants[owner] // 8 + 1).astype(U64)).astype(np.int64) + 1
-                m, row, begin, size, salt = (np.concatenate([x[~hot], y]) for x, y in ((m, m[owner]), (row, row[owner]), (begin, places), (size, np.ones(len(places), np.int64)), (salt, cut)))
-            stop = begin + size + length - 1
+            ids, row, (m, at, salt), begin = _asked(batch, offsets, length, 3)
+            stop = begin + (at & 0xFFFF) + length - 1
             raw = data.tobytes()
             for lo in range(0, len(m), 20_000):
                 hi = lo + 20_000
                 parts = [raw[x:y] for x, y in zip(begin[lo:hi].tolist(), stop[lo:hi].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([i64(m[lo:hi]), i64(salt[lo:hi]), i64(ids[row[lo:hi]]), i64((begin - offsets[row])[lo:hi]), pa.array(parts, pa.binary())], ["m", "salt", "doc", "start", "segment"])
+                yield pa.RecordBatch.from_arrays([i64(m[lo:hi]), i64(salt[lo:hi]), i64(ids[row[lo:hi]]), i64(at[lo:hi] >> 16), pa.array(parts, pa.binary())], ["m", "salt", "doc", "start", "segment"])
 
     return scan
 
@@ -237,7 +256,14 @@ def _sorted_groups(length: int):
         # a place may come once a class; equal places beside each other are one
         first = np.maximum.accumulate(np.where(np.r_[True, kind[1:] != kind[:-1]], np.arange(len(kind)), 0)) if len(kind) else later
         later &= (doc != doc[first]) | (start != start[first])
-        return pa.RecordBatch.from_arrays([i64(doc[later]), i64(start[later] << 16 | 1)], ["doc", "at"])
+        doc, start = doc[later], start[later]
+        by = np.lexsort((start, doc))
+        doc, start = doc[by], start[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+        edge = np.flatnonzero(new)
+        size = start[np.r_[edge[1:], len(doc)] - 1] - start[edge] + length if len(doc) else start
+        return pa.RecordBatch.from_arrays([i64(doc[edge]), i64(start[edge]), i64(size)], ["doc", "at", "size"])
 
     def scan(batches):
         held, size, last = [], 0, None
@@ -262,40 +288,62 @@ def _sorted_groups(length: int):
     return scan
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM) -> DataFrame:
-    """(doc, at): runs of strings (start << 16 | count) of `length` bytes of `docs` (doc_id, text) that also start earlier.
+def _cells(batches):
+    for batch, data, offsets in text_slices(batches):
+        yield cell_rows(batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), offsets, data.tobytes(), np.arange(len(data) + 1))
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM, hot: int = HOT_VARIANTS) -> DataFrame:
+    """(doc, at, whole, part, size, digest): stretches of bytes of `docs` (doc_id, text) covered by strings of `length` bytes that also start earlier.
 
-    Earlier: in a smaller doc_id, or before in the same document. Null texts and those shorter than `length` have none; rows
-    without doc_id take no part; rows that share a doc_id count as one document's text laid on top of each other.
+    at and whole are a stretch's first byte and its bytes. Those that a suffix array found have no digest; others come as cells (part, size) with the digest
+    of the source's bytes. Earlier: in a smaller doc_id, or before in the same document; of strings that are equal the earliest is kept. Null texts and those
+    shorter than `length` have none; rows without doc_id take no part; rows that share a doc_id count as one document's text laid on top of each other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     spark = prepare(docs.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = spool(docs.mapInArrow(_runs(length, min(k, length)), RUNS), "runs")
     again = repeated(runs, across_documents=False)
     release(runs)
-    paths = folded(again)
-    release(again)
-    copies = paths.where("doc != first.doc or at != first.at").select("doc", "at")
-    heads = paths.where("doc = first.doc and at = first.at and variants > 1").groupBy("doc").agg(F.collect_set(F.struct("m", "at", "variants")).alias("heads"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = docs.join(heads.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "heads")
-    segments = segments.mapInArrow(_segments(length), "m long, salt long, doc long, start long, segment binary")
-    later = segments.repartition(parts, "m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_sorted_groups(length), "doc long, at long")
-    out = spool(copies.union(later), "spans")
-    release(paths)
+    known = variants_of(again)
+    place = [F.col("first.doc").alias("source"), F.shiftright("first.at", 16).alias("from")]
+    copies = again.join(known.select("m", "h", "first"), ["m", "h"]).where("doc != first.doc or at != first.at")
+    copies = copies.select("doc", F.shiftright("at", 16).alias("at"), F.col("at").bitwiseAND(0xFFFF).alias("n"), *place)
+    heads = known.where("variants > 1").select(F.col("first.doc").alias("doc"), "m", F.col("first.at").alias("at"), "variants")
+
+    def of_documents(asked: DataFrame, *fields) -> DataFrame:
+        """docs (doc_id, text) with `heads`, the runs asked for."""
+        return docs.join(asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct(*fields)).alias("heads")).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "heads")
+
+    windows = of_documents(heads.where(F.col("variants") > hot), "m", "at", "variants").mapInArrow(_windows(length), "m long, w long, doc long, start long, variants long")
+    windows = spool(windows, "windows")
+    firsts = spool(windows.groupBy("m", "w").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("variants").alias("variants")), "firsts")
+    again_here = windows.select("m", "w", "doc", "start").join(firsts, ["m", "w"]).where("doc != first.doc or start != first.start")
+    again_here = again_here.select("doc", F.col("start").alias("at"), F.lit(1).cast("long").alias("n"), F.col("first.doc").alias("source"), F.col("first.start").alias("from"))
+    # one window of each content; as many groups as keep each to some hundred windows
+    salt = F.pmod("w", F.floor(F.col("variants") / 8) + 1) + 1
+    salted = firsts.select(F.col("first.doc").alias("doc"), "m", F.shiftleft("first.start", 16).bitwiseOR(F.lit(1)).alias("at"), salt.alias("salt"))
+    plain = heads.where(F.col("variants") <= hot).select("doc", "m", "at", F.lit(0).cast("long").alias("salt"))
+    segments = of_documents(plain.unionByName(salted), "m", "at", "salt").mapInArrow(_segments(length), "m long, salt long, doc long, start long, segment binary")
+    later = segments.repartition(parts, "m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_sorted_groups(length), "doc long, at long, size long")
+    later = later.select("doc", "at", F.col("size").alias("whole"), F.col("at").alias("part"), "size", F.lit(None).cast("binary").alias("digest"))
+    cells = confirmable(spans(copies.unionByName(again_here), length), docs, _cells, GRID)
+    out = spool(cells.unionByName(later), "spans")
+    release(again, known, windows, firsts, cells)
     return out
 
 
 def _keep(length: int):
-    """Rows (doc_id, text, ats, others): the digest columns, the kept bytes, and the others as they are."""
+    """Rows (doc_id, text, cells, others): the digest columns, the kept bytes, and the others as they are."""
 
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
-            raw = data.tobytes()
+            raw, place = data.tobytes(), range(len(data) + 1)
             sizes, removed, spans, shas, texts = [], [], [], [], []
             for found, lo, hi in zip(batch.column(2).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                flat = np.asarray(found or [], np.int64)
-                a, b = merge_spans(flat >> 16, (flat >> 16) + (flat & 0xFFFF) + length - 1, hi - lo)
+                at, size = confirmed(found, lo, hi - lo, raw, place)
+                a, b = merge_spans(at, at + size, hi - lo)
                 edges = [lo, *(lo + np.stack([a, b], axis=1).ravel()).tolist(), hi]
                 text = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
                 sizes.append(hi - lo)
@@ -312,14 +360,15 @@ def _keep(length: int):
 KEPT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = (), hot: int = HOT_VARIANTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, carry): every document without the bytes of strings that start earlier too.
 
-    Kept bytes may begin or end inside a character. Null text: empty. A row without doc_id loses nothing. Columns that
-    `carry` doesn't name are ignored.
+    Kept bytes may begin or end inside a character. Null and empty texts are empty. A row without doc_id loses nothing; of rows that share a
+    doc_id, each loses what any of them repeats, as far as it lies in its own text and, where folding found it, has the same bytes there. A text of any length is one row and is treated whole in one task. Columns that `carry`
+    doesn't name are ignored; those it names may be called anything but doc_id, text or a result column. An empty table gives an empty result.
     """
-    spans = repeated_spans(docs, length, k)
-    spans = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("ats"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "ats", *carry)
+    cells = repeated_spans(docs, length, k, hot)
+    cells = cells.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "whole", "part", "size", "digest")).alias("cells"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).join(cells.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cells", *carry)
     new = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     return rows.mapInArrow(_keep(length), T.StructType([rows.schema.fields[0], *new.fields, *rows.schema.fields[3:]]))

@@ -77,26 +77,13 @@ def test_suffix_array_dedup(docs, texts, length):
     assert sum(v[1] for v in expected.values()) > 1000
 
 
-def test_suffix_array_dedup_hot_anchors(spark, texts, docs, monkeypatch):
-    # every branching anchor is hot: its windows are cut and salted one by one, and each text of the sorter is small
+def test_suffix_array_dedup_hot_anchors(texts, docs, monkeypatch):
+    # every branching anchor is hot: its windows are folded and salted one by one, and each text of the sorter is small
     monkeypatch.setattr(suffix_array, "TEXT_SYMBOLS", 500)
-    scan = suffix_array._segments(33)
-    monkeypatch.setattr(suffix_array, "_segments", lambda length: _hot(scan))
-    got = by_id(suffix_array.suffix_array_dedup(docs, 33), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = by_id(suffix_array.suffix_array_dedup(docs, 33, hot=1), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == repeated_bytes([r[:2] for r in texts], 33)
 
 
-def _hot(scan):
-    def run(batches):
-        before, suffix_array.HOT_VARIANTS = suffix_array.HOT_VARIANTS, 1
-        try:
-            yield from scan(batches)
-        finally:
-            suffix_array.HOT_VARIANTS = before
-
-    return run
-
-
 def test_places_of_equal_strings():
     raw = np.frombuffer(b"abcdefghijklmnopqrst" * 6, np.uint8)
     classes = suffix_array.repeated_places(raw, np.array([0, 60, 120]), 20)
@@ -104,9 +91,9 @@ def test_places_of_equal_strings():
 
 
 def test_suffix_array_dedup_odd(odd, empty):
-    # rows of one doc_id lie on top of each other: the repeated bytes of one are taken from all
+    # rows of one doc_id lie on top of each other: what one repeats is taken from all that have those bytes there
     rows = suffix_array.suffix_array_dedup(odd).collect()
-    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in rows) == [(0, 0, 0), (0, 5, 0), (1, 16, 14), (1, 160, 158), (1, 160, 158), (2, 0, 0), (2, 160, 160)]
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in rows) == [(0, 0, 0), (0, 5, 0), (1, 16, 0), (1, 160, 158), (1, 160, 158), (2, 0, 0), (2, 160, 160)]
     assert suffix_array.suffix_array_dedup(empty).collect() == []
 
 
