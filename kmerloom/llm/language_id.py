@@ -4,12 +4,16 @@ A text is first assigned to a language family, then to a language of that family
 linear support vector machines over frequencies of byte trigrams. A family of one language needs no second step, and a
 single family no first.
 
+Families are named for the codes in FAMILIES; any other language is a family of its own, as long as there are no more than MOST_FAMILIES.
+Beyond that, languages without a named family are grouped by their mean frequencies, so that L languages need about L ** 1.5 machines.
+
 Features: the lower-cased text as UTF-8, everything but letters turned to blanks, each three consecutive bytes
 hashed to one of DIM places; frequencies are divided by the places' spread over the training rows. The decisions are
-linear, so a whole text is scored by sums of looked-up weights, without a histogram.
+linear, so a whole text is scored by sums of looked-up weights, without a histogram, and only by the machines of its family.
 
-Training takes at most about PER_LANGUAGE labelled rows of each language, chosen by a hash of doc_id: this bound
-is the parameter `per_language`. Prediction reads the text and nothing else.
+Training takes at most about `per_language` labelled rows of each language, and about `most_rows` of all, chosen by a hash of doc_id; every
+language takes part. The rows reach the driver as frequencies (16 KB each); each machine is then trained by a task. Prediction
+reads the text and nothing else.
 """
 
 import itertools
@@ -17,13 +21,13 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import prepare, text_slices
 
-DIM, PER_LANGUAGE, MOST_LANGUAGES = 1 << 12, 400, 500
+DIM, PER_LANGUAGE, MOST_ROWS, MOST_FAMILIES = 1 << 12, 400, 16_000, 32
 #: Families of ISO 639-1 codes; a language that isn't named makes a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -85,93 +89,131 @@ def train_pair(x: np.ndarray, sign: np.ndarray, rounds: int = 200, strength: flo
     return w, b
 
 
+def families(langs: list[str], means: np.ndarray) -> dict[str, str]:
+    """Family of each language; languages without a named one share families, by the cosine of their means, if there were more than MOST_FAMILIES."""
+    out = {x: family_of(x) for x in langs}
+    alone = [i for i, x in enumerate(langs) if out[x] == x]
+    room = max(1, MOST_FAMILIES - len({f for x, f in out.items() if f != x}))
+    if len(alone) <= room:
+        return out
+    unit = means[alone] / np.maximum(np.linalg.norm(means[alone], axis=1, keepdims=True), 1e-30)
+    heads, close = [0], unit @ unit[0]
+    while len(heads) < room:  # the language that is least like any head is the next one
+        heads.append(int(close.argmin()))
+        close = np.maximum(close, unit @ unit[heads[-1]])
+    for i, head in zip(alone, (unit @ unit[heads].T).argmax(axis=1), strict=True):
+        out[langs[i]] = langs[alone[heads[head]]]
+    return out
+
+
 class Model:
-    """Trained on rows x, which it scales in place. families: names; langs: of each family; votes: one-versus-one machines as (group, i, j, weights, offset), group -1 for families."""
-
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        self.families = sorted({family_of(x) for x in langs})
-        self.langs = [sorted({x for x in langs if family_of(x) == f}) for f in self.families]
-        spread = np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)) if len(x) else np.ones(DIM)
-        scale = (np.where(spread > 0, 1 / np.maximum(spread, 1e-4), 0) / np.sqrt(DIM)).astype(np.float32)
-        x *= scale  # in place: the training rows are the driver's largest object
-        lang = np.array(langs)
-        family = np.array([family_of(v) for v in langs])
-        self.machines, tables, offsets = [], [], []
-        pairs = [(-1, i, j, family == a, family == b) for (i, a), (j, b) in itertools.combinations(enumerate(self.families), 2)]
-        for g, names in enumerate(self.langs):
-            pairs += [(g, i, j, lang == a, lang == b) for (i, a), (j, b) in itertools.combinations(enumerate(names), 2)]
-        for g, i, j, first, second in pairs:
-            rows = np.flatnonzero(first | second)
-            w, b = train_pair(x if len(rows) == len(x) else x[rows], np.where(first[rows], 1.0, -1.0))
-            self.machines.append((g, i, j))
-            tables.append((w * scale).astype(np.float32))
-            offsets.append(b)
-        self.tables = np.array(tables, np.float32).reshape(-1, DIM)
-        self.offsets = np.array(offsets)
-
-    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Margin of each machine (column) for each text (row)."""
-        place = np.append(features(data), np.zeros(min(2, len(data)), np.int32))
-        n = np.diff(offsets)
-        out = np.zeros((len(n), len(self.machines)))
+    """Machines as (group, i, j), group -1 for families, with weights and offsets. names: families; langs: those of each family."""
+
+    def __init__(self, names: list[str], langs: list[list[str]], machines: list[tuple[int, int, int]], tables: np.ndarray, offsets: np.ndarray):
+        self.names, self.langs, self.tables, self.offsets = names, langs, tables, offsets
+        self.of_group: dict[int, list[tuple[int, int, int]]] = {}
+        for c, (g, i, j) in enumerate(machines):
+            self.of_group.setdefault(g, []).append((c, i, j))
+
+    def margins(self, data: np.ndarray, offsets: np.ndarray, machines: list[int], rows: np.ndarray) -> np.ndarray:
+        """Margin of each of the machines (column) for each of the texts `rows` (row)."""
+        place = np.append(features(data), np.zeros(min(2, len(data)) + 1, np.int32))
+        n = np.diff(offsets)[rows]
+        out = np.zeros((len(n), len(machines)))
         full = np.flatnonzero(n > 2)
         if len(full):
-            # pairs of bounds, so that places that reach over a text's end aren't summed
-            edges = np.stack([offsets[full], offsets[full + 1] - 2], axis=1).ravel()
-            place = np.append(place, 0)
-            for c, table in enumerate(self.tables):
-                out[full, c] = np.add.reduceat(table[place], edges, dtype=np.float64)[::2] / (n[full] - 2) + self.offsets[c]
+            # pairs of bounds, so that places between the texts aren't summed
+            edges = np.stack([offsets[rows[full]], offsets[rows[full] + 1] - 2], axis=1).ravel()
+            for c, machine in enumerate(machines):
+                out[full, c] = np.add.reduceat(self.tables[machine][place], edges, dtype=np.float64)[::2] / (n[full] - 2) + self.offsets[machine]
         return out
 
-    def decide(self, margins: np.ndarray, group: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Winner of the votes (ties: the larger sum of margins, then the first) and the probability given to it."""
-        n = len(margins)
+    def decide(self, data: np.ndarray, offsets: np.ndarray, group: int, size: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Winner of the group's votes on the texts `rows` (ties: the larger sum of margins, then the first) and the probability given to it."""
+        machines = self.of_group.get(group, [])
+        margins = self.margins(data, offsets, [c for c, _, _ in machines], rows)
+        n = len(rows)
         votes, total = np.zeros((n, size)), np.zeros((n, size))
-        for c, (g, i, j) in enumerate(self.machines):
-            if g == group:
-                first = margins[:, c] >= 0
-                votes[:, i] += first
-                votes[:, j] += ~first
-                total[:, i] += margins[:, c]
-                total[:, j] -= margins[:, c]
+        for c, (_, i, j) in enumerate(machines):
+            first = margins[:, c] >= 0
+            votes[:, i] += first
+            votes[:, j] += ~first
+            total[:, i] += margins[:, c]
+            total[:, j] -= margins[:, c]
         best = (votes + np.tanh(total) * 0.49).argmax(axis=1)
         least = np.full(n, np.inf)
-        for c, (g, i, j) in enumerate(self.machines):
-            if g == group:
-                least = np.where(best == i, np.minimum(least, margins[:, c]), np.where(best == j, np.minimum(least, -margins[:, c]), least))
+        for c, (_, i, j) in enumerate(machines):
+            least = np.where(best == i, np.minimum(least, margins[:, c]), np.where(best == j, np.minimum(least, -margins[:, c]), least))
         return best, 1 / (1 + np.exp(-np.clip(4 * least, -60, 60)))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = self.margins(data, offsets)
-        family, score = self.decide(m, -1, len(self.families))
-        langs = np.empty(len(m), object)
-        for g, names in enumerate(self.langs):
+        family, score = self.decide(data, offsets, -1, len(self.names), np.arange(len(offsets) - 1))
+        langs = np.empty(len(family), object)
+        for g in np.unique(family).tolist():
             rows = np.flatnonzero(family == g)
-            best, p = self.decide(m[rows], g, len(names))
-            langs[rows] = np.array(names, object)[best]
+            best, p = self.decide(data, offsets, g, len(self.langs[g]), rows)
+            langs[rows] = np.array(self.langs[g], object)[best]
             score[rows] *= p
         return langs, score
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fits on at most about per_language rows for each lang of labelled (doc_id, text, lang); None if there are none."""
-    prepare(labelled.sparkSession)
+def train(spark: SparkSession, x: np.ndarray, langs: list[str]) -> Model:
+    """Machines for the training rows x, which are scaled in place: the driver's largest object. Each machine is one task's row."""
+    lang = np.array(langs)
+    known = sorted(set(langs))
+    family = families(known, np.array([x[lang == v].mean(axis=0) for v in known]))
+    names = sorted(set(family.values()))
+    members = [sorted(v for v in known if family[v] == f) for f in names]
+    spread = np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x))
+    scale = (np.where(spread > 0, 1 / np.maximum(spread, 1e-4), 0) / np.sqrt(DIM)).astype(np.float32)
+    x *= scale
+    pairs = [(-1, i, j) for i, j in itertools.combinations(range(len(names)), 2)]
+    pairs += [(g, i, j) for g, own in enumerate(members) for i, j in itertools.combinations(range(len(own)), 2)]
+    # for both steps, the number of each row's class
+    step = np.array([names.index(family[v]) for v in known])[np.searchsorted(known, lang)]
+    own = np.array([members[names.index(family[v])].index(v) for v in known])[np.searchsorted(known, lang)]
+    held = spark.sparkContext.broadcast((x, step, own))
+
+    def machines(batches):
+        x, step, own = held.value
+        for batch in batches:
+            rows = []
+            for g, i, j in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                kind = step if g < 0 else np.where(step == g, own, -1)
+                chosen = np.flatnonzero((kind == i) | (kind == j))
+                w, b = train_pair(x if len(chosen) == len(x) else x[chosen], np.where(kind[chosen] == i, 1.0, -1.0))
+                rows.append((w.astype(np.float32).tobytes(), b))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w for w, _ in rows], pa.binary()), pa.array([float(b) for _, b in rows], pa.float64())], ["g", "i", "j", "w", "b"])
+
+    trained = []
+    if pairs:
+        tasks = min(len(pairs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        todo = spark.createDataFrame(pairs, "g int, i int, j int").repartition(tasks)
+        trained = sorted(todo.mapInArrow(machines, "g int, i int, j int, w binary, b double").collect(), key=lambda r: (r.g, r.i, r.j))
+    held.destroy()
+    tables = np.array([np.frombuffer(bytes(r.w), np.float32) * scale for r in trained], np.float32).reshape(-1, DIM)
+    return Model(names, members, [(r.g, r.i, r.j) for r in trained], tables, np.array([r.b for r in trained]))
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model | None:
+    """Fits on at most about per_language rows for each lang of labelled (doc_id, text, lang), and most_rows of all langs; None if there are no rows."""
+    spark = prepare(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
-    # some per_language rows of each of MOST_LANGUAGES languages at most, of DIM floats each
+    wanted = min(per_language, max(2, most_rows // len(counts)))
+    rate = spark.createDataFrame([(r["lang"], min(1.0, wanted / r["count"])) for r in counts], "lang string, rate double")
+    chosen = rows.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
     got = chosen.select("lang", "text").mapInArrow(_histograms(), "lang string, x binary").toArrow().combine_chunks().sort_by([("lang", "ascending"), ("x", "ascending")])
     if not got.num_rows:
         return None
-    rows = np.empty((got.num_rows, DIM), np.float32)
-    for i, x in enumerate(got.column("x")):
-        rows[i] = np.frombuffer(x.as_buffer(), "<f4")
+    x = np.empty((got.num_rows, DIM), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), "<f4")
     langs = got.column("lang").to_pylist()
     del got
-    return Model(rows, langs)
+    return train(spark, x, langs)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -203,7 +245,9 @@ def held_out(column: str = "doc_id"):
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs (doc_id, text, lang), learned from those not held out.
 
-    An empty table gives an empty result; other columns are ignored; repeated rows are predicted each.
+    Null texts and those without a letter are `und` with score 0, whatever their length else; a long text is one row, scored whole. Rows with a null lang
+    or doc_id are predicted like others. An empty table gives an empty result; other columns are ignored; repeated rows are predicted each. Ties
+    go to the language with the larger sum of margins, then to the first by name.
     """
     model = fit(docs.where(~held_out()), per_language)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

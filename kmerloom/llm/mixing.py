@@ -9,13 +9,16 @@ taken; the fraction is rounded by pivots. Two documents with fractions meet; a r
 other, such that neither's expectation changes, until one fraction is 0 or 1; the other goes on. So the words taken of a
 source stay at its target, but for one last fraction.
 
-Long documents: one that comes last with a fraction leaves an error as long as itself. So a source's documents of more than
-1 / HEAVY of its words, fewer than HEAVY, meet first, class by class of length, and what a class took above or below its share moves
-as one amount to or from the fraction that all shorter documents have in common.
-
-Distribution: the other documents are dealt to leaves by a hash of their doc_id, about LEAF to a leaf; a leaf leaves at most one fraction a source. Those
-residuals meet in the next level of a reduction tree, FAN leaves to a node, up to one node a source. Every random number is a hash of
-the ids that meet, so reruns agree whatever the number of tasks.
+Distribution: documents are dealt to leaves by a hash, about LEAF to a leaf; a leaf leaves at most one fraction a source. Those
+residuals meet in the next level of a reduction tree, FAN leaves to a node, up to one node a source, the root. Every random number is a
+hash of the ids that meet, so reruns agree whatever the number of tasks.
+
+The root: about POOL documents of each class of lengths (powers of two) don't go to leaves but wait at their source's root, where they
+meet the last residuals, the longest first. So a residual meets documents of its own length, and shorter ones after them, and what
+is left at the end is mostly as short as the source's shortest. That last fraction is rounded by chance, and the words that this takes too
+many or too few are given back by turning settled documents of the root over, the longest that fits first. Of the two ways to round, one
+that can't be given back is not taken: a document longer than all words that its source has to give can't be taken whatever its fraction says.
+Apart from these few documents every expectation is kept.
 """
 
 import hashlib
@@ -25,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, spool
+from .common import prepare, release, spool
 
-LEAF, FAN, HEAVY = 512, 64, 512
+LEAF, FAN, POOL = 512, 64, 128
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-12
 
@@ -75,59 +78,81 @@ def settle(rows: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     return done, held
 
 
-def settle_long(rows: list[tuple], source_size: int, seed: int) -> list[tuple]:
-    """Rounds the long documents (key, size, fraction) of a source, longest class first; all have the source's one fraction.
+def mend(rows: list[tuple], goal: float, fixed) -> tuple[list[tuple], float]:
+    """Turns settled (key, size, 0 or 1) over until their words are near `goal`; the key `fixed` stays. Returns the rows and the gap left.
 
-    Each class's last fraction is rounded by chance; the classes after it, and the source's other documents, make up for that.
+    Documents that close the gap are taken from the longest that fits down; then the shortest that closes more than the gap is turned over too, and the
+    gap that this opens on the other side is closed in the same way, as long as that leaves less.
     """
-    goal, left, took, done, step = (rows[0][2] if rows else 0) * source_size, source_size, 0.0, [], 8
+    order = sorted((i for i, r in enumerate(rows) if r[1] > 0 and r[0] != fixed), key=lambda i: (-rows[i][1], rows[i][0]))
+    state = [r[2] for r in rows]
+    gap = goal - sum(n * q for (_, n, _), q in zip(rows, state, strict=True))
+    best, found = abs(gap), list(state)
+    for _ in range(16):
+        side = 0.0 if gap > 0 else 1.0
+        for i in order:
+            if state[i] == side and rows[i][1] <= abs(gap):
+                state[i] = 1.0 - side
+                gap -= rows[i][1] if side == 0.0 else -rows[i][1]
+        if abs(gap) < best:
+            best, found = abs(gap), list(state)
+        over = [i for i in order if state[i] == side and rows[i][1] > abs(gap)]
+        if best < 1 or not over:
+            break
+        i = over[-1]
+        state[i] = 1.0 - side
+        gap -= rows[i][1] if side == 0.0 else -rows[i][1]
+        if abs(gap) < best:
+            best, found = abs(gap), list(state)
+    return [(k, n, q) for (k, n, _), q in zip(rows, found, strict=True)], best
+
+
+def finish(rows: list[tuple], seed: int) -> list[tuple]:
+    """Rounds all (key, size, fraction) of a source's root, the longest first, and gives back what the last fraction takes or leaves."""
     rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    while rows:
-        cut = [r for r in rows if r[1] * step > source_size]
-        rows, step = rows[len(cut) :], step * 8
-        p = min(1.0, max(0.0, (goal - took) / left)) if left else 0.0
-        out, rest = settle([(k, n, p) for k, n, _ in cut], seed)
-        if rest is not None:
-            out.append((rest[0], rest[1], float(draw(seed, "last", rest[0]) < rest[2])))
-        done += out
-        took += sum(n * q for _, n, q in out)
-        left -= sum(n for _, n, _ in out)
-    return done
-
-
-def _settle_groups(seed: int, last: bool, long: bool):
-    """Rows (source_no, node, doc_id, size, turn, fraction, source_size) sorted by source and node; a node's residual isn't settled."""
+    goal = sum(n * p for _, n, p in rows)
+    done, rest = settle(rows, seed)
+    if rest is None:
+        return done
+    up, down = (mend([*done, (rest[0], rest[1], q)], goal, rest[0]) for q in (1.0, 0.0))
+    shortest = min((n for _, n, _ in rows if n > 0), default=0)
+    if max(up[1], down[1]) <= shortest:
+        return (up if draw(seed, "last", rest[0]) < rest[2] else down)[0]
+    return (up if up[1] < down[1] else down)[0]
+
+
+ROW = "source_no int, node long, doc_id long, size long, content long, turn long, fraction double"
+
+
+def _settle_groups(seed: int, last: bool):
+    """Rows (ROW) that come sorted by source and node, as they are, with `settled`; what a node leaves isn't settled, unless it is the last."""
 
     def scan(batches):
         held, key = [], None
 
         def flush():
-            items = [((-1 if doc is None else doc, size, turn, doc), size, p) for doc, size, p, turn, _ in held]
-            done, rest = (settle_long(items, held[0][4], seed), None) if long else settle(items, seed)
-            if rest is not None and last:
-                done, rest = [*done, (rest[0], rest[1], float(draw(seed, "last", key[0], rest[0]) < rest[2]))], None
-            rows = [(k, p, True) for k, _, p in done] + ([(rest[0], rest[2], False)] if rest else [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(rows), pa.int32()), pa.array([key[1]] * len(rows), pa.int64()), pa.array([k[3] for k, _, _ in rows], pa.int64()), pa.array([k[1] for k, _, _ in rows], pa.int64()), pa.array([k[2] for k, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.float64()), pa.array([d for _, _, d in rows], pa.bool_()), pa.array([held[0][4]] * len(rows), pa.int64())],
-                ["source_no", "node", "doc_id", "size", "turn", "fraction", "settled", "source_size"],
-            )
+            items = [((-1 if doc is None else doc, size, content, turn, doc is None), size, p) for doc, size, content, turn, p in held]
+            done, rest = (finish(items, seed), None) if last else settle(items, seed)
+            rows = [(*k, p, True) for k, _, p in done] + ([(*rest[0], rest[2], False)] if rest else [])
+            doc, size, content, turn, none, p, settled = zip(*rows, strict=True)
+            n = len(rows)
+            values = [[key[0]] * n, [key[1]] * n, [None if x else d for d, x in zip(doc, none, strict=True)], size, content, turn, p, settled]
+            kinds = [pa.int32(), *[pa.int64()] * 5, pa.float64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["source_no", "node", "doc_id", "size", "content", "turn", "fraction", "settled"])
 
         for batch in batches:
-            for source, node, doc, size, turn, p, whole in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for source, node, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (source, node) != key:
                     if held:
                         yield flush()
                     held, key = [], (source, node)
-                held.append((doc, size, p, turn, whole))
+                held.append(row)
         if held:
             yield flush()
 
     return scan
 
 
-STATE = "source_no int, node long, doc_id long, size long, turn long, fraction double, settled boolean, source_size long"
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """(source, source_no, source_size, target) from (source, source_size), one row a source.
 
@@ -154,8 +179,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     size counts the words of the text (null: 0); source_size and target are those of the row's source, null being a source of
     its own; copies is how often the mix takes the document and taken its words, size * copies, at most ceil(most) * size.
-    Rows that share a doc_id, and rows without one, are documents of their own, told apart by their place among their likes.
-    An empty table gives an empty result.
+    Rows that share a doc_id, and rows without one, are documents of their own; rows equal in doc_id, source and text are numbered.
+    A long text is one document like others. Other columns are ignored. An empty table gives an empty result.
     """
     return _copies(docs, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -163,14 +188,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 def take(docs: DataFrame, carry: tuple[str, ...], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """Columns `carry` of every row of docs (doc_id, text, source), each row as often as mix_sources takes it.
 
-    Rows that share doc_id (or have none), source and size take their copies in the order of `carry`.
+    Rows equal in doc_id (or without), source and text take their copies in the order of `carry`.
     """
     # plain keys for what may be null, so that the window and the join need one exchange of the texts
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("key_id"), F.isnull(F.col("doc_id").cast("long")).alias("key_no_id"), F.coalesce("source", F.lit("")).alias("key_source"), F.isnull("source").alias("key_no_source")]
-    names = ["key_id", "key_no_id", "key_source", "key_no_source", "key_size"]
-    copies = _copies(docs, weights, share, most, seed).select(*keys, F.col("size").alias("key_size"), "turn", "copies")
+    names = ["key_id", "key_no_id", "key_source", "key_no_source", "key_size", "key_content"]
+    copies = _copies(docs, weights, share, most, seed).select(*keys, F.col("size").alias("key_size"), F.col("content").alias("key_content"), "turn", "copies")
     copies = copies.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "copies"))), lambda x: x["copies"]).alias("key_copies"))
-    rows = docs.select(*keys, _size().alias("key_size"), F.struct(*carry).alias("row"))
+    rows = docs.select(*keys, _size().alias("key_size"), _content().alias("key_content"), F.struct(*carry).alias("row"))
     rows = rows.withColumn("key_turn", F.row_number().over(Window.partitionBy(*names).orderBy("row")))
     taken = rows.join(copies.hint("shuffle_hash"), names).withColumn("key_times", F.element_at("key_copies", F.col("key_turn"))).where("key_times > 0")
     return taken.withColumn("key_time", F.explode(F.sequence(F.lit(1), F.col("key_times")))).select("row.*")
@@ -181,44 +206,53 @@ def _size():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _content():
+    """Tells texts apart where rows share a doc_id or have none."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _copies(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
-    """(doc_id, source, size, turn, source_size, target, copies) of every row of docs; turn counts, from 1, rows alike in the three before it."""
+    """(doc_id, source, size, content, turn, source_size, target, copies) of every row of docs; turn counts, from 1, rows alike in the four before it."""
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"))
-    rows = spool(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    goal = spool(targets(sizes.select("source", "source_size"), weights, share, most), "targets")
-    most_docs = sizes.agg(F.max("docs")).first()[0] or 0
-    leaves = max(1, math.ceil(most_docs / LEAF))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"), _content().alias("content"))
+    rows = spool(rows.groupBy("doc_id", "source", "size", "content").agg(F.count("*").alias("alike")), "sizes")
+    length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size")))).otherwise(-1)
+    classes = spool(rows.groupBy("source", length.alias("stratum")).agg(F.sum(F.col("size") * F.col("alike")).alias("words"), F.sum("alike").alias("docs")), "classes")
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"))
+    goal = targets(sizes.select("source", "source_size"), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    known = rows.join(goal, rows.source.eqNullSafe(goal.source)).select(rows.doc_id, "size", "source_no", "source_size", "target", F.floor(ratio + EDGE).alias("whole"), (ratio - F.floor(ratio + EDGE)).alias("fraction"))
-    leaf = F.pmod(F.xxhash64("doc_id"), F.lit(leaves))
-    twin = Window.partitionBy("source_no", "node", "doc_id", "size").orderBy("fraction")
-    heavy = F.col("size") * HEAVY > F.col("source_size")
-
-    def rounded(state: DataFrame, last: bool, long: bool = False) -> DataFrame:
-        dealt = state.select("source_no", "node", "doc_id", "size", "turn", "fraction", "source_size").repartition(parts, "source_no", "node")
-        return spool(dealt.sortWithinPartitions("source_no", "node", F.desc("size"), "doc_id", "turn").mapInArrow(_settle_groups(seed, last, long), STATE), "settled")
-
-    first = known.where(heavy).select("source_no", F.lit(0).cast("long").alias("node"), "doc_id", "size", "fraction", "source_size")
-    settled = [rounded(first.withColumn("turn", F.row_number().over(twin).cast("long")), True, long=True)]
-    took = settled[0].groupBy("source_no").agg(F.sum(F.col("size") * F.col("fraction")).alias("took"), F.sum("size").alias("long"))
-    rest = goal.join(took, "source_no", "left").withColumn("light", F.col("source_size") - F.coalesce("long", F.lit(0)))
-    share_left = (ratio - F.floor(ratio + EDGE)) * F.col("source_size") - F.coalesce("took", F.lit(0.0))
-    rest = spool(rest.select("source_no", F.when(F.col("light") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share_left / F.col("light")))).otherwise(F.lit(0.0)).alias("fraction")), "rest")
-    state = known.where(~heavy).drop("fraction").join(rest, "source_no").select("source_no", leaf.alias("node"), "doc_id", "size", "fraction", "source_size")
-    state, nodes = state.withColumn("turn", F.row_number().over(twin).cast("long")), leaves
+    goal = spool(goal.withColumn("whole", F.floor(ratio + EDGE)).withColumn("fraction", ratio - F.floor(ratio + EDGE)), "targets")
+    leaves = max(1, math.ceil((sizes.agg(F.max("docs")).first()[0] or 0) / LEAF))
+    # the root of each source gets about POOL documents of each class of lengths
+    pooled = goal.join(classes, goal.source.eqNullSafe(classes.source)).select(goal.source.alias("of_source"), "stratum", "source_no", "fraction", (POOL * 1e6 / F.col("docs")).alias("rate"))
+    known = rows.join(pooled, F.col("source").eqNullSafe(F.col("of_source")) & (length == F.col("stratum")))
+    known = known.select("source_no", "doc_id", "size", "content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))).alias("turn"), "fraction", "rate")
+    chance = F.xxhash64(F.lit(seed), "doc_id", "size", "content", "turn")
+    waits = F.pmod(F.shiftright(chance, 20), F.lit(1_000_000)) < F.col("rate")
+    state = known.select("source_no", F.when(waits, F.lit(-1)).otherwise(F.pmod(chance, F.lit(leaves))).cast("long").alias("node"), "doc_id", "size", "content", "turn", "fraction")
+    names = ["source_no", "node", "doc_id", "size", "content", "turn", "fraction"]
+
+    def rounded(state: DataFrame, last: bool) -> DataFrame:
+        dealt = state.select(*names).repartition(parts, "source_no", "node").sortWithinPartitions("source_no", "node", F.desc("size"), "doc_id", "content", "turn")
+        return spool(dealt.mapInArrow(_settle_groups(seed, last), f"{ROW}, settled boolean"), "settled")
+
+    state = spool(state, "state")
+    root, state, nodes, settled = state.where("node = -1"), state.where("node >= 0"), leaves, []
     while True:
-        state = rounded(state, nodes == 1)
+        state = rounded(state, False)
         settled.append(state.where("settled"))
+        state = state.where("not settled")
         if nodes == 1:
             break
         nodes = math.ceil(nodes / FAN)
-        state = state.where("not settled").withColumn("node", F.col("node") % nodes)
+        state = state.withColumn("node", F.col("node") % nodes)
+    settled.append(rounded(root.select(*names).unionByName(state.select(*names)).withColumn("node", F.lit(0).cast("long")), True))
     out = settled[0]
     for more in settled[1:]:
-        out = out.union(more)
-    facts = goal.join(known.select("source_no", "whole").distinct(), "source_no").select("source_no", "source", "source_size", "target", "whole")
-    out = out.drop("source_size").join(facts, "source_no").withColumn("copies", (F.col("whole") + F.when(F.col("fraction") > 0.5, 1).otherwise(0)).cast("int"))
-    return out.select("doc_id", "source", "size", "turn", "source_size", "target", "copies")
+        out = out.unionByName(more)
+    out = out.drop("node", "settled").withColumnRenamed("fraction", "extra").join(goal.drop("fraction"), "source_no")
+    out = out.withColumn("copies", (F.col("whole") + F.when(F.col("extra") > 0.5, 1).otherwise(0)).cast("int"))
+    out = spool(out.select("doc_id", "source", "size", "content", "turn", "source_size", "target", "copies"), "copies")
+    release(rows, classes, goal)
+    return out

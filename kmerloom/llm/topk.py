@@ -1,15 +1,18 @@
 """Operator 6, exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are grouped to buckets of similar length, longest first, and each bucket is dealt to chunks of bounded size.
+Candidates are grouped to buckets of similar length, longest first, and each bucket is dealt to chunks of bounded size. Queries
+are grouped to blocks by the length that a candidate needs to reach their threshold, so those of a block meet the same buckets.
 
 1. A bounded number of the longest vectors gives each query a first threshold: the k-th best product among them.
-2. A query meets a bucket only if its own length times the bucket's greatest reaches the threshold.
+2. A query meets a bucket only if its own length times the bucket's greatest reaches the threshold. Candidates travel only to the
+   blocks that have a query which meets their bucket.
 3. Threshold, divided by both lengths, is the cosine that a candidate of the bucket must reach. Where that is high, the query's
    largest coordinate bounds the same coordinate of every candidate that can reach it; where it is low, the
    candidates' own lengths, sorted, bound how many of them can.
 4. What is left is verified by integer products; only products that reach the threshold leave the chunk.
 
-Bounds are widened by a relative 1e-9, far above rounding, so nothing is lost to it.
+Bounds are widened by a relative 1e-9, far above rounding, so nothing is lost to it. Chunks and blocks grow with the square root of
+the table, up to ROOM bytes of vectors: each vector then travels to the fewest groups that bounded memory allows.
 """
 
 import math
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import prepare, release, spool
 
 BUCKETS, CHUNK, BLOCK, SEEDS = 32, 2048, 1024, 1024
+#: Bytes of vectors in a chunk or block at most, and cuts of the queries by the length that they need.
+ROOM, REACHES = 1 << 24, 64
 #: Cosine from which the coordinate bound is used.
 STEEP = 0.5
 SLACK = 1e-9
@@ -170,19 +175,23 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     vectors: vec_id, embedding; components become floor(scale * x). Queries are the rows whose vec_id is divisible by `every`.
     Rows without vec_id, null vectors and those with null or non-finite components take no part. Only vectors of one
     dimension are compared. Rows that repeat a vec_id and its vector count once; a query isn't compared with rows of its own
-    vec_id. Products beyond a long are held to its range. Fewer than k candidates: all of them.
+    vec_id. Products beyond a long are held to its range, components whose multiple is beyond a double count as non-finite. Fewer than k
+    candidates: all of them. Other columns are ignored; an empty table gives an empty result.
     """
     spark = prepare(vectors.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = spool(rows.mapInArrow(_quantise(scale), QUANTISED).dropDuplicates(["vec_id", "vec"]), "vectors")
-    cuts = sorted(set(rows.approxQuantile("norm", [i / BUCKETS for i in range(1, BUCKETS)], 0.002)), reverse=True) if not rows.isEmpty() else []
+    rows = whole = spool(rows.mapInArrow(_quantise(scale), QUANTISED).dropDuplicates(["vec_id", "vec"]), "vectors")
+    facts = rows.agg(F.count("*"), F.max("dim")).first()
+    room, growth = max(1, ROOM // (8 * max(1, facts[1] or 1))), max(1, math.isqrt(facts[0]) // 4096)
+    most_chunk, most_block = (min(room, least * growth) for least in (CHUNK, BLOCK))
+    cuts = sorted(set(rows.approxQuantile("norm", [i / BUCKETS for i in range(1, BUCKETS)], 0.002)), reverse=True) if facts[0] else []
     bucket = F.lit(0)
     for cut in cuts:
         bucket = bucket + F.when(F.col("norm") < cut, 1).otherwise(0)
     rows = rows.withColumn("bucket", bucket.cast("int"))
     # BUCKETS rows for each dimension
-    sizes = rows.groupBy("dim", "bucket").agg(F.max("norm").alias("longest"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sizes = rows.groupBy("dim", "bucket").agg(F.max("norm").alias("longest"), F.ceil(F.count("*") / most_chunk).cast("int").alias("chunks"))
     sizes = spool(sizes, "buckets")
     seeds = rows.where("norm is not null").orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "dim", "vec").collect()
     by_dim: dict[int, tuple] = {}
@@ -201,16 +210,29 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(least), batch.column(3)], ["vec_id", "dim", "norm", "least", "vec"])
 
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "dim", "norm", "vec").mapInArrow(first, "vec_id long, dim int, norm double, least double, vec binary")
-    queries = spool(queries, "queries")
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    queries = spooled = spool(queries, "queries")
+    asked = queries.count()
+    blocks = max(1, math.ceil(asked / most_block))
+    # the length that a candidate must have; queries without a threshold need none
+    need = F.when((F.col("least") > 0) & (F.col("norm") > 0), F.col("least") / F.col("norm")).otherwise(0.0)
+    queries = queries.withColumn("need", need)
+    reaches = min(blocks, REACHES)
+    steps = sorted(set(queries.approxQuantile("need", [i / reaches for i in range(1, reaches)], 0.005))) if reaches > 1 else []
+    reach = F.lit(0)
+    for step in steps:
+        reach = reach + F.when(F.col("need") >= step, 1).otherwise(0)
+    deep = math.ceil(blocks / (len(steps) + 1))
+    block = (reach * deep + F.pmod(F.xxhash64("vec_id"), F.lit(deep))).cast("int")
     met = queries.withColumn("block", block).join(F.broadcast(sizes), "dim").where(F.col("norm") * F.col("longest") * (1 + SLACK) >= F.col("least"))
+    met = met_table = spool(met.select("dim", "bucket", "chunks", "block", "vec_id", "least", "vec"), "met")
+    # blocks that a bucket's candidates have to travel to: a row each at most, of BUCKETS times blocks
+    meets = spool(met.groupBy("dim", "bucket", "chunks").agg(F.sort_array(F.collect_set("block")).alias("blocks")), "meets")
     met = met.select("dim", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(0).alias("kind"), "vec_id", "least", "vec")
     chunk = F.pmod(F.xxhash64(F.lit(3), F.col("vec_id"), F.col("vec")), F.col("chunks")).cast("int")
-    dealt = rows.join(F.broadcast(sizes.select("dim", "bucket", "chunks")), ["dim", "bucket"]).select("dim", "bucket", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", F.lit(0.0).alias("least"), "vec")
+    dealt = rows.join(F.broadcast(meets), ["dim", "bucket"]).select("dim", "bucket", chunk.alias("chunk"), F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "vec_id", F.lit(0.0).alias("least"), "vec")
     both = met.unionByName(dealt).repartition(parts, "dim", "bucket", "chunk", "block").sortWithinPartitions("dim", "bucket", "chunk", "block", "kind")
     found = both.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = spool(found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
-    release(rows, sizes, queries)
+    release(whole, spooled, sizes, met_table, meets)
     return out
