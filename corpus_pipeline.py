@@ -11,15 +11,13 @@ from kmerloom.llm import language_id, minhash, mixing, sentencepiece_viterbi, su
 from kmerloom.llm.common import prepare, release, spool, table, tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Below this, a text's language is taken as unknown: no better than a guess among four.
-LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those without text, without letters or below LEAST_SCORE go."""
+    """Documents whose language is found; those without text or without letters go."""
     model = language_id.fit(docs.where(~language_id.held_out()))
     found = language_id.predict(docs.select(*COLUMNS), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
