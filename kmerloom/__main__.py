@@ -1,4 +1,4 @@
-"""python -m kmerloom [config.toml]: runs the search that a configuration describes."""
+"""python -m kmerloom [config.toml]: runs the search that a configuration describes; python -m kmerloom COMMAND ...: one of the pipelines around it."""
 
 import logging
 import os
@@ -7,6 +7,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom import pipelines
+from kmerloom.functions import sequence as S
 from kmerloom.operators import search
 from kmerloom.sources import config as configs
 from kmerloom.sources import fasta, sinks
@@ -24,7 +26,8 @@ def run(spark: SparkSession, config: configs.Config) -> None:
     log.info("%d references, %d queries", len(refs), queries.count())
     k, out = config.kmer_size, config.output_dir
     fragments = search.fragment_table(records, k, config.fragment_size)
-    longest = fragments.agg(F.max(F.length("frag"))).first()[0]
+    length = F.length(S.normalize(F.col("seq"), k))
+    longest = records.agg(F.max(F.least(F.nullif(length, F.lit(0)), F.lit(config.fragment_size)))).first()[0]
     if longest is None:
         raise ValueError("no fragments")
     if config.index_method == "ibf" and longest < k:
@@ -52,15 +55,23 @@ def run(spark: SparkSession, config: configs.Config) -> None:
     queries.unpersist()
 
 
+def session(threads: int = 0) -> SparkSession:
+    return SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{threads or '*'}]")).appName("kmerloom").getOrCreate()
+
+
 def main(arguments: list[str]) -> int:
-    path = arguments[0] if arguments else "config.toml"
+    """The search of a configuration file, or one of the commands of pipelines.py."""
     try:
+        if arguments and arguments[0] in pipelines.COMMANDS:
+            options = pipelines.parser().parse_args(arguments)
+            pipelines.COMMANDS[options.command](session(options.threads), options)
+            return 0
+        path = arguments[0] if arguments else "config.toml"
         config = configs.load(path)
         if config.log_file:
             os.makedirs(os.path.dirname(config.log_file) or ".", exist_ok=True)
             logging.basicConfig(filename=config.log_file, level=logging.INFO, format="[%(levelname)s] %(asctime)s %(message)s", datefmt="%Y-%m-%d %H:%M:%S")
-        threads = config.threads or "*"
-        run(SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{threads}]")).appName("kmerloom").getOrCreate(), config)
+        run(session(config.threads), config)
     except (OSError, ValueError) as e:
         log.error("%s", e)
         print(e, file=sys.stderr)

@@ -17,17 +17,22 @@ def normalize(seq: Column, k: int) -> Column:
     return five if k <= LAST_FIVE_LETTER_K else F.translate(five, "N", "")
 
 
+def pieces(seq: Column, start: Column, length: int) -> Column:
+    """`length` letters from `start` (from 1) on. Sequences are ASCII, so bytes are cut: a string's letters would be counted from its beginning each time."""
+    return F.substring(seq.cast("binary"), start, F.lit(length)).cast("string")
+
+
 def fragments(seq: Column, size: int, overlap: int = OVERLAP) -> Column:
     """Array of the fragments of a sequence: each begins size - overlap after the one before; the tail may be short. Empty: none."""
     step = size - overlap
     count = F.ceil(F.length(seq) / F.lit(step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(seq, i * step + 1, F.lit(size)))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: pieces(seq, i * step + 1, size))
     return F.when(F.length(seq) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
 def kmers(seq: Column, k: int) -> Column:
     """Array of all k-mers in order of position; none if the sequence is shorter than k."""
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: pieces(seq, i, k))
     return F.when(F.length(seq) >= k, cut).otherwise(F.array().cast("array<string>"))
 
 

@@ -29,9 +29,9 @@ def concatenated_kmers(references: DataFrame, k: int) -> DataFrame:
     tail = F.substring(F.array_join(F.collect_list("head").over(order.rowsBetween(1, max(1, k - 1))), ""), 1, k - 1) if k > 1 else F.lit("")
     placed = rows.join(short.select("ref_id", "rec_idx", offset.alias("offset"), tail.alias("tail")), ["ref_id", "rec_idx"])
     # records are cut to pieces before k-mers are made, so that a long one spreads over rows of bounded size
-    piece = 1 << 16
+    piece = 1 << 12
     whole = F.concat("seq", "tail")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / piece).cast("int")), lambda i: F.struct((i * piece).alias("at"), F.substring(whole, i * piece + 1, F.lit(piece + k - 1)).alias("bases")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / piece).cast("int")), lambda i: F.struct((i * piece).alias("at"), S.pieces(whole, i * piece + 1, piece + k - 1).alias("bases")))
     pieces = placed.select("ref_id", "offset", F.explode(cut).alias("p")).select("ref_id", (F.col("offset") + F.col("p.at")).alias("offset"), "p.bases")
     return pieces.select("ref_id", "offset", F.posexplode(S.kmers(F.col("bases"), k)).alias("i", "kmer")).select("ref_id", (F.col("offset") + F.col("i") + 1).alias("pos"), "kmer")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions.records import header_fields, region_id
 from kmerloom.operators.graph import components
 from kmerloom.operators.intervals import islands, normalized
+from kmerloom.plans import numbering
 from kmerloom.plans.storage import release, spool
 
 
@@ -47,12 +48,9 @@ def members(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """(family, region_cluster_id): numbers by falling count of sequences, then by the family's key.
-
-    The window runs over one row a family; that is the summary's size, not the hits'.
-    """
+    """(family, region_cluster_id): numbers by falling count of sequences, then by the family's key, given range by range."""
     sized = rows.groupBy("family").agg(F.count_distinct("seq").alias("n"))
-    return sized.select("family", region_id(F.row_number().over(Window.orderBy(F.desc("n"), "family"))).alias("region_cluster_id"))
+    return numbering.numbered(sized, F.desc("n"), "family").select("family", region_id(F.col("number")).alias("region_cluster_id"))
 
 
 def cluster_summary(rows: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Rollups behind the reports: file statistics, gene summaries, set intersections, method comparison."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.records import percent
 from kmerloom.functions.sequence import n_count
+from kmerloom.plans import numbering
 
 
 def file_statistics(records: DataFrame, by: str = "ref_id") -> DataFrame:
@@ -111,3 +112,41 @@ def ratio_trend(matched: DataFrame, by: list[str]) -> DataFrame:
     """Mean, least and greatest matched ratio by the given columns, such as gene and k or reference and k."""
     r = F.col("matched_kmer_ratio")
     return matched.groupBy(*by).agg(F.avg(r).alias("mean_ratio"), F.min(r).alias("min_ratio"), F.max(r).alias("max_ratio"))
+
+
+# --- orders of report tables
+
+
+def by_ratio(rows: DataFrame, ratio: str = "matched_kmer_ratio", name: str = "transcript_name") -> DataFrame:
+    """Falling ratio, then name."""
+    return rows.orderBy(F.col(ratio).desc_nulls_last(), name)
+
+
+def edge_case_order(rows: DataFrame) -> DataFrame:
+    """Edge cases by k, kind, rising least ratio and transcript."""
+    return rows.orderBy("k_size", "edge_case", F.col("min_matched_kmer_ratio").asc_nulls_first(), "transcript_name")
+
+
+def by_place(rows: DataFrame, names: list[str], column: str = "genome") -> DataFrame:
+    """The order of a given list of names; others come after it by name."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col(column))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(names) + 1), column)
+
+
+def top_clusters(clusters: DataFrame, top: int = 30) -> DataFrame:
+    """The clusters of most sequences (ties: by id), with `rank` from 1; the report's size is `top`."""
+    best = clusters.orderBy(F.desc("n_transcripts"), "region_cluster_id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_transcripts"), "region_cluster_id")))
+
+
+def with_rank(clusters: DataFrame) -> DataFrame:
+    """All clusters with `rank`, 1 for that of most sequences: the series of a rank plot, numbered range by range."""
+    return numbering.numbered(clusters, F.desc("n_transcripts"), "region_cluster_id", name="rank")
+
+
+def of_genes(rows: DataFrame, names: list[str] = (), prefixes: list[str] = (), column: str = "gene_name") -> DataFrame:
+    """Rows whose gene is one of `names` or begins with one of `prefixes`."""
+    wanted = F.col(column).isin(list(names))
+    for prefix in prefixes:
+        wanted = wanted | F.col(column).startswith(prefix)
+    return rows.where(wanted)

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from kmerloom.functions import records as R
 from kmerloom.functions import sequence as S
 from kmerloom.operators import align_qc, exact, intervals, kmer_qc, regions, report, search
+from kmerloom.plans import storage
 
 K, SIZE, THRESHOLD, LONG_K = 12, 400, 15, 28
 SEVERAL_K = (8, 10, 12)
-REFS = [f"src{i}" for i in range(20)]
 SAMPLES = [f"s{i}" for i in range(5)]
 GENES = ["GENE1", "GENE7", "GENE13"]
-LIMITS = align_qc.Limits(coverage=60, identity=92, mapq=10, strict_identity=95, strict_mapq=30)
+LIMITS = align_qc.Limits(coverage=20, identity=92, mapq=10, strict_identity=95, strict_mapq=30)
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -114,12 +114,11 @@ def kmer_hit_lists(spark, folder):
     return search.hit_lists(*_hits_and_grid(spark, folder))
 
 
-_CELLS = ", ".join(f"""max(CASE WHEN ref_id = '{r}' THEN "count" END) AS {r}_count, max(CASE WHEN ref_id = '{r}' THEN unique_kmers END) AS {r}_ibf_unique_kmer, max(CASE WHEN ref_id = '{r}' THEN CAST("pass" AS INT) END) AS {r}_pass, max(CASE WHEN ref_id = '{r}' THEN pct END) AS {r}_pct""" for r in REFS)
-
-
-@query(f"{HITS}, res AS ({_results(THRESHOLD)}) SELECT query_index, {_CELLS} FROM res GROUP BY query_index")
+@query(f"""{HITS}, res AS ({_results(THRESHOLD)}), cells AS (SELECT query_index, ref_id, "count", unique_kmers AS ibf_unique_kmer, CAST("pass" AS INT) AS "pass", pct FROM res)
+PIVOT cells ON ref_id USING first("count") AS "count", first(ibf_unique_kmer) AS ibf_unique_kmer, first("pass") AS "pass", first(pct) AS pct GROUP BY query_index""")
 def wide_results(spark, folder):
-    return search.wide(search_results(spark, folder), REFS)
+    refs = [r[0] for r in references(spark, folder).select("ref_id").distinct().orderBy("ref_id").collect()]  # one a reference
+    return search.wide(search_results(spark, folder), refs)
 
 
 @query(f"WITH {_bases(True)}, {_fragments()}, {_hits(LONG_K)} {_results(1)}")
@@ -169,10 +168,18 @@ def _meta(spark, folder):
 
 
 def _matched(spark, folder):
+    """Matched k-mers for several k: references are cut to fragments once, and the result is stored, as reports read it several times."""
+    refs, qry = references(spark, folder), passages(spark, folder)
+    fragments = storage.spool(search.fragment_table(refs, max(SEVERAL_K), SIZE), "fragments")
+    names = storage.spool(refs.select("ref_id").distinct(), "names")
     out = None
     for k in SEVERAL_K:
-        rows = kmer_qc.matched_by_query(*_hits_and_grid(spark, folder, k)).withColumn("k_size", F.lit(k))
+        kmers = search.query_kmers(qry, k)
+        hits = search.probe(kmers, search.build_index(fragments, k, only=kmers))
+        rows = kmer_qc.matched_by_query(hits, search.pairs(qry, names, k)).withColumn("k_size", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
+    out = storage.spool(out, "matched")
+    storage.release(fragments, names)
     return out
 
 
@@ -283,12 +290,12 @@ _SAM = f"""WITH raw AS (SELECT 's' || l_suppkey % 5 AS sample, l_orderkey * 1000
 CAST(l_linenumber AS VARCHAR) AS nm, CAST(l_orderkey % 900 AS VARCHAR) AS as_score, CASE WHEN l_partkey % 23 = 0 THEN 'chr' || l_partkey % 25 END AS sa_tag, (l_partkey % 30) AS clip, (100 + l_orderkey % 900 + l_linenumber + l_suppkey % 7) AS aligned, 'T' || l_partkey % 400 AS transcript_id, 'G' || l_partkey % 50 || '.2' AS gene_id, 'T-' || l_partkey % 400 AS transcript_name, 'GENE' || l_partkey % 50 AS gene_name, l_suppkey FROM lineitem),
 m0 AS (SELECT *, flag & 4 = 0 AS mapped, flag & 2048 <> 0 AS supp, flag & 256 <> 0 AS secondary FROM raw),
 m AS (SELECT *, CASE WHEN mapped THEN CAST(aligned AS INT) ELSE 0 END AS aq, CASE WHEN mapped THEN CAST(clip AS INT) ELSE 0 END AS sc, CASE WHEN mapped THEN 100.0::DOUBLE * CAST(aligned AS DOUBLE) / 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS cov, CASE WHEN mapped THEN 100.0::DOUBLE * CAST(clip AS DOUBLE) / 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS scp, CASE WHEN mapped THEN 100.0::DOUBLE * (1.0::DOUBLE - de) END AS ident, CASE WHEN mapped THEN 100.0::DOUBLE * de END AS diverg FROM m0),
-rec AS (SELECT *, coalesce(mapped AND cov >= 60 AND ident >= 92 AND mapq >= 10, false) AS pass_basic, coalesce(mapped AND cov >= 60 AND ident >= 95 AND mapq >= 30, false) AS pass_strict FROM m WHERE NOT secondary)"""
+rec AS (SELECT *, coalesce(mapped AND cov >= {LIMITS.coverage} AND ident >= 92 AND mapq >= 10, false) AS pass_basic, coalesce(mapped AND cov >= {LIMITS.coverage} AND ident >= 95 AND mapq >= 30, false) AS pass_strict FROM m WHERE NOT secondary)"""
 
 
 @query(f"""{_SAM} SELECT sample, row_no, qname, transcript_id, gene_id, transcript_name, gene_name, 1000 AS query_length, flag, 'primary' AS alignment_type, mapped, CASE WHEN mapped THEN rname END AS reference, CASE WHEN mapped THEN pos END AS position, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand,
 CASE WHEN mapped THEN mapq ELSE 0 END AS mapq, CASE WHEN mapped THEN cigar END AS cigar, aq AS aligned_query_bases, cov AS query_coverage_pct, sc AS softclip_bases, scp AS softclip_pct, ident AS identity_pct, diverg AS divergence_pct, nm, as_score, sa_tag IS NOT NULL AS has_sa_tag, sa_tag, pass_basic, pass_strict,
-CASE WHEN NOT mapped THEN 'unmapped' ELSE concat_ws(',', CASE WHEN cov < 60 THEN 'low_coverage' END, CASE WHEN ident IS NULL OR ident < 92 THEN 'low_identity' END, CASE WHEN mapq < 10 THEN 'low_mapq' END) END AS fail_reasons FROM rec WHERE NOT supp""")
+CASE WHEN NOT mapped THEN 'unmapped' ELSE concat_ws(',', CASE WHEN cov < {LIMITS.coverage} THEN 'low_coverage' END, CASE WHEN ident IS NULL OR ident < 92 THEN 'low_identity' END, CASE WHEN mapq < 10 THEN 'low_mapq' END) END AS fail_reasons FROM rec WHERE NOT supp""")
 def align_records(spark, folder):
     return align_qc.record_metrics(_sam(spark, folder), LIMITS)
 
@@ -302,7 +309,7 @@ _MEANS = ("mean_mapq", "mean_query_coverage_pct", "mean_identity_pct", "mean_sof
 
 @query(f"""{_SAM}, a AS (SELECT sample, count(*) FILTER (NOT secondary AND NOT supp) AS tot, count(*) FILTER (NOT secondary AND NOT supp AND mapped) AS pm, count(*) FILTER (NOT secondary AND NOT supp AND NOT mapped) AS un, count(*) FILTER (supp) AS su, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND mapq = 0) AS mq0,
 count(*) FILTER (NOT secondary AND NOT supp AND mapped AND mapq >= 10) AS g10, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND mapq >= 30) AS g30, round(coalesce(avg(CAST(mapq AS DOUBLE)) FILTER (NOT secondary AND NOT supp AND mapped), 0), 6) AS mean_mapq, round(coalesce(avg(cov) FILTER (NOT secondary AND NOT supp AND mapped), 0), 6) AS mean_query_coverage_pct,
-round(coalesce(avg(ident) FILTER (NOT secondary AND NOT supp AND mapped), 0), 6) AS mean_identity_pct, round(coalesce(avg(scp) FILTER (NOT secondary AND NOT supp AND mapped), 0), 6) AS mean_softclip_pct, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND cov >= 60 AND ident >= 92 AND mapq >= 10) AS pb, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND cov >= 60 AND ident >= 95 AND mapq >= 30) AS ps,
+round(coalesce(avg(ident) FILTER (NOT secondary AND NOT supp AND mapped), 0), 6) AS mean_identity_pct, round(coalesce(avg(scp) FILTER (NOT secondary AND NOT supp AND mapped), 0), 6) AS mean_softclip_pct, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND cov >= {LIMITS.coverage} AND ident >= 92 AND mapq >= 10) AS pb, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND cov >= {LIMITS.coverage} AND ident >= 95 AND mapq >= 30) AS ps,
 count(*) FILTER (NOT secondary AND NOT supp AND mapped AND sa_tag IS NOT NULL) AS sa, count(*) FILTER (NOT secondary AND NOT supp AND mapped AND l_suppkey % 25 >= 9) AS lg FROM m GROUP BY sample)
 SELECT sample, tot AS total_transcripts, pm AS primary_mapped, {_pct("pm", "tot", "primary_mapped_pct")}, un AS unmapped, {_pct("un", "tot", "unmapped_pct")}, su AS supplementary, 100.0::DOUBLE * su / greatest(pm, 1) AS supplementary_per_100_primary, mq0, {_pct("mq0", "pm", "mq0_pct")}, {_pct("g10", "pm", "mapq_ge10_pct")}, {_pct("g30", "pm", "mapq_ge30_pct")},
 mean_mapq, mean_query_coverage_pct, mean_identity_pct, mean_softclip_pct, pb AS pass_cov80_id80_mapq10, {_pct("pb", "tot", "pass_cov80_id80_mapq10_pct")}, ps AS pass_cov80_id90_mapq30, {_pct("ps", "tot", "pass_cov80_id90_mapq30_pct")}, sa AS primary_with_sa_tag, {_pct("sa", "pm", "primary_with_sa_tag_pct")}, 10000000 AS large_contig_bp_threshold, CAST(16 AS BIGINT) AS large_contigs, {_pct("lg", "pm", "mapped_on_large_contigs_pct")} FROM a""")

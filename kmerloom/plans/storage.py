@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), an own temporary folder that is then set."""
+    """The folder named in spark.checkpoint.dir. Unset in local mode (tests): an own temporary folder, which is then set; unset on a cluster: an error."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="kmerloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -28,7 +28,10 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> lis
     """Sequence files of a folder in order of name; a recursive search ignores case and hidden resource files."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
-    found, walk = [], path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, recursive)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        raise ValueError(f"no such folder: {folder}")
+    found, walk = [], system.listFiles(path, recursive)
     while walk.hasNext():
         file = walk.next().getPath()
         name = file.getName()
@@ -72,8 +75,13 @@ def _by_record(spark: SparkSession, paths: list[str]) -> DataFrame:
     end = F.instr(text, "\n")
     header = F.when(end > 0, F.substring(text, F.lit(1), end - 1)).otherwise(text)
     seq = F.when(end > 0, F.regexp_replace(F.substr(text, end + 1), r"\s", "")).otherwise("")
-    order = Window.partitionBy("file").orderBy("block", "id")
-    return raw.select("file", "block", "id", F.rtrim(F.regexp_replace(header, "\r", "")).alias("header"), seq.alias("seq")).withColumn("rec_idx", (F.row_number().over(order) - 1).cast("long")).drop("block", "id")
+    # sequences are sorted within their block of the file only; how many records the blocks before have is one row a block
+    counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    rows = raw.select("file", "block", place.cast("long").alias("place"), F.rtrim(F.regexp_replace(header, "\r", "")).alias("header"), seq.alias("seq"))
+    rows = rows.join(counts.select("file", "block", before.alias("before")), ["file", "block"])
+    return rows.select("file", "header", "seq", (F.col("before") + F.col("place")).alias("rec_idx"))
 
 
 def _by_line(spark: SparkSession, paths: list[str]) -> DataFrame:

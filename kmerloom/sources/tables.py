@@ -1,11 +1,16 @@
 """Tab-separated tables and alignment text as DataFrames, with checks of the columns that are asked for."""
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HITS = "query string, target string, pident double, alnlen int, mismatch int, gapopen int, qstart int, qend int, tstart int, tend int, evalue double, bits double, qlen int, tlen int, qcov double, tcov double"
 
 
+log = logging.getLogger("kmerloom")
+
+
 def required(df: DataFrame, *columns: str) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -30,7 +35,9 @@ def kmer_lists(spark: SparkSession, folder: str, suffix: str = "_kmers.tsv") ->
 
 
 def combined_by_k(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Long form of per-k wide tables: metadata, k_size (digits of the file's name, else null), ref_id, matched_kmers, matched_kmer_ratio.
+    """Long form of per-k wide tables: metadata, k_size and k_label, ref_id, matched_kmers, matched_kmer_ratio.
+
+    k_size are the digits of the file's name, null if it has none; k_label is the same as text, the file's stem if it has none.
 
     From the seventh column on, each pair of columns is one reference; files may have different ones, so each is unpivoted by its own header.
     """
@@ -41,12 +48,23 @@ def combined_by_k(spark: SparkSession, paths: list[str]) -> DataFrame:
         rows = required(spark.read.option("sep", "\t").option("header", True).csv(path), *META)
         names = [c.removesuffix("_matched_kmers") for c in rows.columns if c.endswith("_matched_kmers")]
         cells = F.array(*[F.struct(F.lit(n).alias("ref_id"), F.col(f"`{n}_matched_kmers`").cast("long").alias("matched_kmers"), F.col(f"`{n}_matched_kmer_ratio`").cast("double").alias("matched_kmer_ratio")) for n in names])
-        digits = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), "([0-9]+)", 1), F.lit("")).cast("int")
-        rows = rows.select(digits.alias("k_size"), *[F.col(c).cast("int" if c == "transcript_length" else "long" if c == "total_kmers" else "string").alias(c) for c in META], F.explode(cells).alias("c")).select("k_size", *META, "c.*")
+        digits = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), "([0-9]+)", 1), F.lit(""))
+        rows = rows.select(digits.cast("int").alias("k_size"), F.coalesce(digits, file_stem(".tsv")).alias("k_label"), *[F.col(c).cast("int" if c == "transcript_length" else "long" if c == "total_kmers" else "string").alias(c) for c in META], F.explode(cells).alias("c")).select("k_size", "k_label", *META, "c.*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def list_tables(spark: SparkSession, folder: str, suffix: str = ".tsv") -> list[str]:
+    """Tables of a folder in order of name; a table that Spark wrote is itself a folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        raise ValueError(f"no such folder: {folder}")
+    found = system.listStatus(path)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().endswith(suffix))
+
+
 def status_matrix(spark: SparkSession, path: str, first: int = 4) -> DataFrame:
     """Long form of a status matrix: its first columns, sample, status."""
     rows = spark.read.option("sep", "\t").option("header", True).csv(path)
@@ -69,6 +87,54 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [r.v for r in rows.collect()]
 
 
+def alignment_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of a list that exist; the others are warned of and left out."""
+    out = []
+    for name in listed(spark, path):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            out.append(name)
+        else:
+            log.warning("alignment file not found: %s", name)
+    return out
+
+
+def sample_name(path: str, suffixes: tuple[str, ...] = (".sorted.bam", ".sorted.sam", ".bam", ".sam")) -> str:
+    """A sample's name: its alignment file's without folders and the first of the suffixes that it has."""
+    name = path.rsplit("/", 1)[-1]
+    return next((name.removesuffix(s) for s in suffixes if name.endswith(s)), name)
+
+
+CLUSTERS = "region_cluster_id string, n_raw_intervals long, n_merged_member_intervals long, n_transcripts long, n_genes long, total_member_bp long, representative_transcript string, representative_start long, representative_end long, representative_len long"
+MEMBERS = "region_cluster_id string, transcript_id string, gene_id string, start0 long, end1 long, length long"
+COUNTS = "category string, name string, count_type string, count long, total_bp long"
+
+
+def _typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table whose header must have the schema's columns, in any order and among others; values are cast to its types."""
+    kinds = [c.split(" ") for c in schema.split(", ")]
+    rows = required(spark.read.option("sep", "\t").option("header", True).csv(path), *[n for n, _ in kinds])
+    return rows.select(*[F.col(n).cast(t).alias(n) for n, t in kinds])
+
+
+def region_clusters(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, CLUSTERS)
+
+
+def region_members(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, MEMBERS)
+
+
+def data_summary(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path, COUNTS)
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, predicate=None) -> DataFrame:
+    """Named columns of a large table, with a predicate: no pass over the file to guess types, and other columns aren't parsed further."""
+    rows = _typed(spark, path, schema)
+    return rows if predicate is None else rows.where(predicate)
+
+
 def labelled_summaries(spark: SparkSession, pattern: str, expression: str, labels: dict[str, str]) -> DataFrame:
     """Tables of many folders with `genome`, taken from the file's name by a pattern, and `label` and `place` from a fixed map (its order)."""
     rows = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(pattern)
