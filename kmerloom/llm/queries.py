@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, fingerprint, language_id, minhash, mixing, sentencepiece_viterbi, substring_dedup, suffix_array, token_counts, topk
+from . import bitplane, fingerprint, language_id, minhash, mixing, oracles, sentencepiece_viterbi, substring_dedup, suffix_array, token_counts, topk
 from .common import table, tokenizer_file
 
 
@@ -61,4 +61,10 @@ QUERIES = {
         op10_pivotal_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others need tokenizers, fitted models, random rounding or the operator's own fingerprints.
+ORACLE_SQL = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op3_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op6_norm_bucketed_topk": oracles.TOP_PRODUCTS,
+    "op9_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+}

@@ -1,9 +1,11 @@
 """Language identification, top-k search, the pipeline and the registry."""
 
+import os
 import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -133,6 +135,37 @@ def test_mixing_stage_takes_what_the_mix_says(spark):
     assert got == Counter(map(tuple, corpus_pipeline.mixed(spark, df.repartition(5), "").collect()))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found = con.sql(queries.ORACLE_SQL[name])
+    df = queries.QUERIES[name](spark, folder)
+    assert sorted(df.columns) == sorted(found.columns)
+    assert sorted(map(tuple, df.select(*[f"`{c}`" for c in found.columns]).collect())) == sorted(found.fetchall())
+
+
+def test_many_languages_are_all_learned(spark):
+    """More languages than families: those without a named one share families, and each can be predicted."""
+    rng = random.Random(3)
+    langs = [f"q{i}" for i in range(45)] + ["en", "de"]
+    rows = []
+    for n, lang in enumerate(langs):
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)]
+        rows += [(100 * n + i, " ".join(rng.choice(syllables) for _ in range(40)), lang) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.names) <= language_id.MOST_FAMILIES and sorted(x for own in model.langs for x in own) == sorted(langs)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.95
+    few = language_id.fit(df, most_rows=100)
+    assert sorted(x for own in few.langs for x in own) == sorted(langs)
+
+
 def test_registry():
     import __spark_entry__
 
