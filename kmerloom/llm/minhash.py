@@ -31,7 +31,7 @@ from .common import LOWER, POLY_A, POLY_B, U64, i64, mix, prepare, release, spoo
 from .substring_dedup import joined_words
 
 #: A tree orders documents by VALUES of a signature's values; DEPTH of them make a region.
-TREES, DEPTH, VALUES, CROWD = 20, 4, 6, 2000
+TREES, DEPTH, VALUES, CROWD = 20, 4, 6, 800
 #: Shingles that weigh as much as one document where a block's size is bounded.
 SHINGLES = 1000
 _RNG = np.random.default_rng(20240607)
