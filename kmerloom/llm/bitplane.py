@@ -10,6 +10,7 @@ The index has for each block its ids and the sizes of its planes; the trailer ha
 ids, the width and kind of planes and the block size. All integers are little-endian.
 """
 
+import math
 import os
 import struct
 import zlib
@@ -17,15 +18,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import local_path, prepare, release, remove, shared_path, spool
-from .ranges import bounds, part_of
 from .wordcache import WordTokenizer
 
 MAGIC, TRAILER = b"KLBP", struct.Struct("<4sQQQIII")
 BLOCK = 1 << 16
+#: Bytes of text that one file has at most on average.
+PART_BYTES = 1 << 30
 KINDS = {"byte": 0, "bit": 1}
 
 
@@ -143,51 +146,33 @@ def _open(path: str, mode: str):
     return system.open_input_file(inner) if mode == "rb" else system.open_output_stream(inner)
 
 
-def _encode(path: str, end_id: int):
-    def scan(batches):
-        encode = WordTokenizer.of(path).encode
-        for batch in batches:
-            out = [np.append(encode(x or ""), np.uint32(end_id)).astype("<u4") for x in batch.column(2).to_pylist()]
-            if all(len(x) == 0 or x.max() < 1 << 16 for x in out):  # travel at half the width where the ids fit
-                out = [b"\x02" + x.astype("<u2").tobytes() for x in out]
-            else:
-                out = [b"\x04" + x.tobytes() for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["part", "doc_id", "ids"])
-
-    return scan
-
+def _write(path: str, end_id: int, folder: str, kind: str, block: int):
+    """Encodes the rows (doc_id, text) of one range, in their order, into one file, which is named by the range's number."""
 
-def _write(folder: str, kind: str, block: int):
     def scan(batches):
-        last, writer, file, paths, name = None, None, None, None, ""
-
-        def finish():
-            writer.close()
-            file.close()
-            if "://" not in folder:
-                os.replace(local_path(paths[0]), local_path(paths[1]))
-            else:
-                from pyarrow import fs
-
-                system, inner = fs.FileSystem.from_uri(paths[0])
-                system.move(inner, fs.FileSystem.from_uri(paths[1])[1])
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([paths[1]]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "path", "docs", "ids"])
-
+        encode, part = WordTokenizer.of(path).encode, TaskContext.get().partitionId()
+        name = f"{folder}/part-{part:08d}.klbp"
+        # an attempt of its own name, so that a task that runs twice leaves one whole file
+        attempt, writer = f"{name}.{os.getpid()}-{os.urandom(4).hex()}", None
         for batch in batches:
-            parts, docs, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for part, doc_id, raw in zip(parts, docs, ids, strict=True):
-                if part != last:
-                    if writer:
-                        yield finish()
-                    last, name = part, f"{folder}/part-{part:05d}.klbp"
-                    # an attempt of its own name, so that a task that runs twice leaves one whole file
-                    paths = (f"{name}.{os.getpid()}-{os.urandom(4).hex()}", name)
-                    file = _open(paths[0], "wb")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if writer is None:
+                    file = _open(attempt, "wb")
                     writer = Writer(file, kind, block)
-                raw = raw.as_py()
-                writer.add(NULL_ID if doc_id is None else doc_id, np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype("<u4"))
-        if writer:
-            yield finish()
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                writer.add(NULL_ID if doc_id is None else doc_id, ids)
+        if writer is None:
+            return
+        writer.close()
+        file.close()
+        if "://" not in folder:
+            os.replace(local_path(attempt), local_path(name))
+        else:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(attempt)
+            system.move(inner, fs.FileSystem.from_uri(name)[1])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "path", "docs", "ids"])
 
     return scan
 
@@ -200,18 +185,23 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, kind: str =
     """Encodes docs (doc_id, text), appends end_id to each, and writes files in ascending doc_id order into `folder`, a shared one.
 
     Returns the manifest (part, path, docs, ids, start): start counts the ids in the files before. Null texts are empty;
-    null doc_ids come last; rows of one doc_id follow each other in the order of their ids' bytes. An empty table writes no file.
+    null doc_ids come last; rows of one doc_id follow each other in the order of a hash of their texts. A text of any length is one document.
+    Other columns are ignored. An empty table writes no file.
+
+    Rows are dealt to ranges of (doc_id, hash), so many rows of one doc_id, or without one, are many ranges; a task encodes its range row by
+    row into one file. There are as many ranges as shuffle partitions, or more, so that a range has PART_BYTES of text at most on average.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = bounds(docs.select("doc_id"), "doc_id", parts)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    rows = docs.select(part_of("doc_id", cuts).cast("int").alias("part"), "doc_id", "text").mapInArrow(_encode(path, end_id), "part int, doc_id long, ids binary")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
-    files = spool(rows.mapInArrow(_write(folder, kind, block), "part int, path string, docs long, ids long"), "manifest")
-    # one row a file: at most ranges.MOST_PARTS
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    files = spool(rows.mapInArrow(_write(path, end_id, folder, kind, block), "part int, path string, docs long, ids long"), "manifest")
+    # one row a file
     return files.withColumn("start", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

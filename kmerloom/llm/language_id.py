@@ -199,12 +199,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int =
     """Fits on at most about per_language rows for each lang of labelled (doc_id, text, lang), and most_rows of all langs; None if there are no rows."""
     spark = prepare(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.min(place).alias("least")).collect()
     if not counts:
         return None
     wanted = min(per_language, max(2, most_rows // len(counts)))
-    rate = spark.createDataFrame([(r["lang"], min(1.0, wanted / r["count"])) for r in counts], "lang string, rate double")
-    chosen = rows.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+    # one row a language: the first in the order of the hash is always taken, so none is left out
+    rate = spark.createDataFrame([(r["lang"], max(r["least"] + 1.0, 1e6 * min(1.0, wanted / r["rows"]))) for r in counts], "lang string, below double")
+    chosen = rows.join(F.broadcast(rate), "lang").where(place < F.col("below"))
     got = chosen.select("lang", "text").mapInArrow(_histograms(), "lang string, x binary").toArrow().combine_chunks().sort_by([("lang", "ascending"), ("x", "ascending")])
     if not got.num_rows:
         return None

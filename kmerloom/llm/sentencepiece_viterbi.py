@@ -189,7 +189,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, decoded_sha256): each whole text encoded, and the SHA-256 of what its ids decode to."""
+    """(doc_id, n_tokens, ids_crc32, decoded_sha256): each whole text encoded, and the SHA-256 of what its ids decode to.
+
+    Null texts are empty; repeated rows, and rows that share a doc_id or have none, are encoded each; a text of any length is encoded whole, in one
+    task; of segmentations with one score the first found, that of the longest last piece, is taken. Other columns are ignored; an empty table gives an empty result.
+    """
     prepare(docs.sparkSession)
 
     def scan(batches):

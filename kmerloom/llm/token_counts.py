@@ -74,7 +74,8 @@ def with_suffix_sums(counts: DataFrame) -> DataFrame:
 
 def length_histogram(docs: DataFrame, path: str) -> DataFrame:
     """One row for each encoded length that occurs: the histogram with its suffix sums and `quantile`, the share of documents
-    of at most that length. An empty table gives no row; null texts have length 0."""
+    of at most that length. An empty table gives no row; null and empty texts have length 0; repeated rows count each, rows without doc_id like others;
+    a text of any length is encoded whole, in one task. Only the column text is read, whatever others there are."""
     return with_suffix_sums(histogram(docs, path)).withColumn("quantile", 1 - F.col("docs_longer") / F.col("docs_total"))
 
 
