@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import i64, release, spool
@@ -22,21 +22,44 @@ def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
+def _merged(window: int):
+    """Sorted rows (doc, at, n, source, from, path) to spans (doc, at, size, source, origin); the last span of a batch waits for the next one."""
+
+    def scan(batches):
+        held = np.zeros((0, 6), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(6)], axis=1)])
+            doc, at, n, source, origin, path = rows.T
+            new = np.ones(len(rows), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (path[1:] != path[:-1]) | ((at - origin)[1:] != (at - origin)[:-1]) | (at[1:] > (at + n)[:-1])
+            first = np.flatnonzero(new)
+            stop = np.maximum.reduceat(at + n, first)
+            # the open span as one row
+            last = first[-1]
+            held = np.array([[doc[last], at[last], stop[-1] - at[last], source[last], origin[last], path[last]]])
+            if len(first) > 1:
+                yield _span_rows(rows[first[:-1]], stop[:-1], window)
+        if len(held):
+            yield _span_rows(held, held[:, 1] + held[:, 2], window)
+
+    return scan
+
+
+def _span_rows(rows: np.ndarray, stop: np.ndarray, window: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([i64(x) for x in (rows[:, 0], rows[:, 1], stop - rows[:, 1] + window - 1, rows[:, 3], rows[:, 4])], ["doc", "at", "size", "source", "origin"])
+
+
 def spans(occurrences: DataFrame, window: int, path: str | None = None) -> DataFrame:
     """(doc, at, size, source, origin): maximal stretches of symbols covered by occurrences that continue each other (on one `path`, if named).
 
-    The window holds one document's occurrences at a time: fewer than it has symbols.
+    One pass over the occurrences in the order of their documents; it holds one batch.
     """
-    order = Window.partitionBy("doc").orderBy("at", "source", "from")
-    same = [F.col(c).eqNullSafe(F.lag(c).over(order)) for c in ("source", *([path] if path else []))]
-    straight = (F.col("at") - F.col("from")) == F.lag(F.col("at") - F.col("from")).over(order)
-    joined = straight & (F.col("at") <= F.lag(F.col("at") + F.col("n")).over(order))
-    for s in same:
-        joined = joined & s
-    rows = occurrences.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.max(F.col("at") + F.col("n")) - F.min("at") + window - 1
-    return rows.groupBy("doc", "span").agg(F.min("at").alias("at"), size.alias("size"), F.first("source").alias("source"), F.min("from").alias("origin")).drop("span")
+    count = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = occurrences.select("doc", "at", "n", "source", "from", (F.col(path) if path else F.lit(0)).cast("long").alias("path"))
+    rows = rows.repartition(count, "doc").sortWithinPartitions("doc", "at", "source", "from")
+    return rows.mapInArrow(_merged(window), "doc long, at long, size long, source long, origin long")
 
 
 def confirmable(found: DataFrame, docs: DataFrame, cells_of, grid: int) -> DataFrame:

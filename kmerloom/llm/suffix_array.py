@@ -12,7 +12,8 @@ One suffix array of a whole corpus doesn't fit one machine, so the corpus is cut
 3. The segments (run with the bytes that its windows span) of each anchor with several variants go to one group. Groups are
    concatenated to texts of bounded size, and each such text gets its suffix array. Anchors of more than HOT_VARIANTS
    variants are cut by window, and equal windows folded like runs before any byte travels: however many contexts a
-   passage has, its windows come once. Different windows are then dealt to groups of some hundred by their contents.
+   passage has, its windows come to a suffix array once, and those of one context alone don't come at all. The threshold is low, so that what is
+   cut grows like the input.
 4. Suffixes whose adjacent common prefixes reach `length` are equal strings; all but the earliest are removed.
 5. What folding alone found equal (whole runs, windows of hot anchors) is compared byte by byte with its source at the source's
    coordinates (see coordinates.py) before it is removed.
@@ -31,8 +32,9 @@ from .common import _BYTE_SEEDS, POLY_A, POLY_B, U64, i64, merge_spans, mix, pre
 from .coordinates import cell_rows, confirmable, confirmed, spans
 
 GRAM = 32
-#: Symbols of one suffix array, and variants from which an anchor's windows are folded and dealt out by content.
-TEXT_SYMBOLS, HOT_VARIANTS = 1 << 19, 1024
+#: Symbols of one suffix array, variants from which an anchor's windows are folded, and folded windows of one anchor in a group.
+TEXT_SYMBOLS, HOT_VARIANTS = 1 << 19, 32
+GROUP_WINDOWS = 4096
 #: Symbols (257 values, so 9 bits) in one comparison key.
 STEP = 7
 #: Bytes of a source that one digest covers at most.
@@ -204,27 +206,34 @@ def _asked(batch: pa.RecordBatch, offsets: np.ndarray, length: int, fields: int)
 
 
 def _windows(length: int):
-    """Each window of the runs in `heads` (anchor, at, variants): anchor, a hash of its bytes, document, start, variants."""
+    """Each window of the runs in `heads` (anchor, at): anchor, a hash of its bytes, document, start."""
 
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
-            ids, row, (m, at, variants), begin = _asked(batch, offsets, length, 3)
+            ids, row, (m, at), begin = _asked(batch, offsets, length, 2)
             size = at & 0xFFFF
             one, two = POLY_A.prefix(data), POLY_B.prefix(data)
             places, owner = ranges(begin, size), np.repeat(np.arange(len(m)), size)
             w = mix(POLY_B.spans(two, places, places + length) ^ mix(POLY_A.spans(one, places, places + length)))
-            yield pa.RecordBatch.from_arrays([i64(m[owner]), i64(w), i64(ids[row[owner]]), i64(places - offsets[row[owner]]), i64(variants[owner])], ["m", "w", "doc", "start", "variants"])
+            yield pa.RecordBatch.from_arrays([i64(m[owner]), i64(w), i64(ids[row[owner]]), i64(places - offsets[row[owner]])], ["m", "w", "doc", "start"])
 
     return scan
 
 
 def _segments(length: int):
-    """The bytes of each run in `heads` (anchor, at, salt)."""
+    """The bytes of each run in `heads` (anchor, at, salt); runs of one anchor and salt that touch are one."""
 
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
             ids, row, (m, at, salt), begin = _asked(batch, offsets, length, 3)
-            stop = begin + (at & 0xFFFF) + length - 1
+            by = np.lexsort((begin, salt, m, row))
+            row, m, at, salt, begin = (x[by] for x in (row, m, at, salt, begin))
+            stop = begin + (at & 0xFFFF)
+            new = np.ones(len(m), bool)
+            new[1:] = (row[1:] != row[:-1]) | (m[1:] != m[:-1]) | (salt[1:] != salt[:-1]) | (begin[1:] != stop[:-1])
+            first = np.flatnonzero(new)
+            stop = (np.maximum.reduceat(stop, first) if len(first) else stop) + length - 1
+            row, m, at, salt, begin = (x[first] for x in (row, m, at, salt, begin))
             raw = data.tobytes()
             for lo in range(0, len(m), 20_000):
                 hi = lo + 20_000
@@ -316,14 +325,16 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM, hot: int =
         """docs (doc_id, text) with `heads`, the runs asked for."""
         return docs.join(asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct(*fields)).alias("heads")).hint("shuffle_hash"), "doc_id").select("doc_id", "text", "heads")
 
-    windows = of_documents(heads.where(F.col("variants") > hot), "m", "at", "variants").mapInArrow(_windows(length), "m long, w long, doc long, start long, variants long")
+    windows = of_documents(heads.where(F.col("variants") > hot), "m", "at").mapInArrow(_windows(length), "m long, w long, doc long, start long")
     windows = spool(windows, "windows")
-    firsts = spool(windows.groupBy("m", "w").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("variants").alias("variants")), "firsts")
-    again_here = windows.select("m", "w", "doc", "start").join(firsts, ["m", "w"]).where("doc != first.doc or start != first.start")
-    again_here = again_here.select("doc", F.col("start").alias("at"), F.lit(1).cast("long").alias("n"), F.col("first.doc").alias("source"), F.col("first.start").alias("from"))
-    # one window of each content; as many groups as keep each to some hundred windows
-    salt = F.pmod("w", F.floor(F.col("variants") / 8) + 1) + 1
-    salted = firsts.select(F.col("first.doc").alias("doc"), "m", F.shiftleft("first.start", 16).bitwiseOR(F.lit(1)).alias("at"), salt.alias("salt"))
+    firsts = windows.groupBy("m", "w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = spool(firsts.select("m", "w", F.col("first.doc").alias("source"), F.col("first.start").alias("from")), "firsts")
+    again_here = windows.join(firsts, ["m", "w"]).where("doc != source or start != from")
+    again_here = again_here.select("doc", F.col("start").alias("at"), F.lit(1).cast("long").alias("n"), "source", "from")
+    # one window of each content that comes again; no two of them are equal, so any deal into groups will do
+    groups = firsts.groupBy("m").agg(F.ceil(F.count("*") / GROUP_WINDOWS).alias("groups"))
+    salt = F.pmod(F.xxhash64("source"), F.col("groups")) + 1
+    salted = firsts.join(groups, "m").select(F.col("source").alias("doc"), "m", F.shiftleft("from", 16).bitwiseOR(F.lit(1)).alias("at"), salt.alias("salt"))
     plain = heads.where(F.col("variants") <= hot).select("doc", "m", "at", F.lit(0).cast("long").alias("salt"))
     segments = of_documents(plain.unionByName(salted), "m", "at", "salt").mapInArrow(_segments(length), "m long, salt long, doc long, start long, segment binary")
     later = segments.repartition(parts, "m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_sorted_groups(length), "doc long, at long, size long")
@@ -334,41 +345,42 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM, hot: int =
     return out
 
 
-def _keep(length: int):
-    """Rows (doc_id, text, cells, others): the digest columns, the kept bytes, and the others as they are."""
+def _keep(text: bool):
+    """Rows (doc_id, text, cells, others): the digest columns, the kept bytes or text, and the others as they are."""
 
     def scan(batches):
         for batch, data, offsets in text_slices(batches):
             raw, place = data.tobytes(), range(len(data) + 1)
-            sizes, removed, spans, shas, texts = [], [], [], [], []
+            sizes, removed, spans, shas, kept = [], [], [], [], []
             for found, lo, hi in zip(batch.column(2).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 at, size = confirmed(found, lo, hi - lo, raw, place)
                 a, b = merge_spans(at, at + size, hi - lo)
                 edges = [lo, *(lo + np.stack([a, b], axis=1).ravel()).tolist(), hi]
-                text = b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                parts = [raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                whole = b"".join(parts)
                 sizes.append(hi - lo)
-                removed.append(hi - lo - len(text))
+                removed.append(hi - lo - len(whole))
                 spans.append(len(a))
-                shas.append(hashlib.sha256(text).hexdigest())
-                texts.append(text)
-            new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["doc_id", *KEPT, *batch.schema.names[3:]])
+                shas.append(hashlib.sha256(whole).hexdigest())
+                kept.append("".join([x.decode("utf-8", "ignore") for x in parts]) if text else whole)
+            new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string() if text else pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["doc_id", *KEPT, "kept_text" if text else "kept_bytes", *batch.schema.names[3:]])
 
     return scan
 
 
-KEPT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
+KEPT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = (), hot: int = HOT_VARIANTS) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = (), hot: int = HOT_VARIANTS, text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, carry): every document without the bytes of strings that start earlier too.
 
-    Kept bytes may begin or end inside a character. Null and empty texts are empty. A row without doc_id loses nothing; of rows that share a
+    Kept bytes may begin or end inside a character; with `text` they come as kept_text, without what is left of split characters. Null and empty texts are empty. A row without doc_id loses nothing; of rows that share a
     doc_id, each loses what any of them repeats, as far as it lies in its own text and, where folding found it, has the same bytes there. A text of any length is one row and is treated whole in one task. Columns that `carry`
     doesn't name are ignored; those it names may be called anything but doc_id, text or a result column. An empty table gives an empty result.
     """
     cells = repeated_spans(docs, length, k, hot)
     cells = cells.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "whole", "part", "size", "digest")).alias("cells"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).join(cells.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cells", *carry)
-    new = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
-    return rows.mapInArrow(_keep(length), T.StructType([rows.schema.fields[0], *new.fields, *rows.schema.fields[3:]]))
+    new = T.StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, {'kept_text string' if text else 'kept_bytes binary'}")
+    return rows.mapInArrow(_keep(text), T.StructType([rows.schema.fields[0], *new.fields, *rows.schema.fields[3:]]))

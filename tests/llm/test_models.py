@@ -11,6 +11,8 @@ import pytest
 
 from kmerloom.llm import language_id, mixing, queries, topk
 
+from test_text_operators import linked
+
 SYLLABLES = {"en": ["the", "ing", "ou", "th", "er"], "de": ["sch", "ung", "ei", "der", "ü"], "fr": ["eau", "que", "é", "ou", "les"], "es": ["ción", "os", "ñ", "que", "el"], "xx": ["zzk", "qwx", "vv"]}
 
 
@@ -75,11 +77,43 @@ def test_top_products_odd(spark):
     assert got == [(0, 1, 2, 512 * big), (0, 2, 1, 512 * 768), (0, 3, 3, -(1 << 63))]
 
 
+def without_repeats(texts, n):
+    """Texts without the bytes of strings of n bytes that start earlier, and without what is left of split characters."""
+    seen, out = set(), {}
+    for doc_id in sorted(texts):
+        raw = (texts[doc_id] or "").encode()
+        gone = bytearray(len(raw) + 1)
+        for i in range(len(raw) - n + 1):
+            if raw[i : i + n] in seen:
+                gone[i : i + n] = b"\1" * n
+            else:
+                seen.add(raw[i : i + n])
+        pieces, lo = [], 0
+        for i in range(len(raw) + 1):
+            if i == len(raw) or gone[i]:
+                pieces.append(raw[lo:i].decode("utf-8", "ignore"))
+                lo = i + 1
+        out[doc_id] = "".join(pieces)
+    return out
+
+
+def test_split_characters_go_and_others_stay(spark):
+    """A text's own replacement character stays where a cut splits another character; bytes of two cuts aren't joined to one."""
+    from kmerloom.llm import suffix_array
+
+    passage = "\u00e9" * 60  # 120 bytes of two-byte characters
+    rows = [(1, "\ufffd" + passage + " one"), (2, "\ufffd x" + "\u00c3" + passage + "\u00a9 two")]
+    got = {r.doc_id: r.kept_text for r in suffix_array.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 101, text=True).collect()}
+    assert got == without_repeats(dict(rows), 101)
+    assert got[2].startswith("\ufffd x")
+
+
 def test_pipeline(spark, texts, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "suffix_dedup", "mixing", "sentencepiece"]
+    before = {r[0]: r[1] for r in texts}
     kept, now = {r[0] for r in texts}, spark.read.parquet(str(tmp_path / "documents.parquet"))
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path / name)
@@ -91,9 +125,14 @@ def test_pipeline(spark, texts, docs, tmp_path):
             assert now.columns == list(corpus_pipeline.COLUMNS)
         if name == "language_id":
             assert kept - ids == {r[0] for r in texts if not any(c.isalpha() for c in r[1] or "")}
+        rows = {r.doc_id: r.text for r in now.collect()} if i < 4 else {}
+        if name == "near_dedup":
+            assert ids == {d for d, (_, _, first) in linked(sorted(before.items()), 5, 80).items() if first}
+            assert all(rows[d] == before[d] for d in ids)
         if name == "suffix_dedup":
+            assert rows == without_repeats(before, 100)
             assert all(r.n_chars == len(r.text) for r in now.collect())
-        kept = ids
+        kept, before = ids, rows
     direct = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert direct == sorted(map(tuple, now.collect()))
 
