@@ -21,21 +21,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Rows of one doc_id and text are one document; of their other columns the smallest values stay. Rows without doc_id are linked with none and stay.
+    """
+    docs = docs.select(*COLUMNS)
     gone = minhash.near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    twice = spool(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("row"))
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "text", "row.*"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without strings of 100 bytes that start earlier; characters that a cut splits go with it."""
-    kept = suffix_array.suffix_array_dedup(docs, length=100, carry=("lang", "source"))
-    text = F.decode(_whole_characters(F.col("kept_bytes")), "UTF-8")
-    return kept.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def _whole_characters(raw):
-    """Bytes of UTF-8 without those left over of a split character."""
-    return F.coalesce(F.when(F.is_valid_utf8(raw.cast("string")), raw), F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�", "").cast("binary"))
+    kept = suffix_array.suffix_array_dedup(docs, length=100, carry=("lang", "source"), text=True)
+    kept = kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
