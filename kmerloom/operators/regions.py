@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.records import header_fields, region_id
 from kmerloom.operators.graph import components
-from kmerloom.operators.intervals import islands, normalized
+from kmerloom.operators.intervals import GROUP, islands, largest_group, normalized
 from kmerloom.plans import numbering
 from kmerloom.plans.storage import release, spool
 
@@ -30,7 +30,7 @@ def families(hits: DataFrame) -> DataFrame:
     hits = spool(hits.withColumn("hit", F.monotonically_increasing_id()), "hits")
     ends = normalized(side("query", "qstart", "qend", "qgene").withColumn("side", F.lit(0)).unionByName(side("target", "tstart", "tend", "tgene").withColumn("side", F.lit(1))))
     # the key of an island is the place of its first base: unique and stable from run to run
-    placed = islands(ends, ["seq"])
+    placed = islands(ends, ["seq"], spread=largest_group(ends, ["seq"]) > GROUP)
     first = F.min("start").over(Window.partitionBy("seq", "island"))
     placed = spool(placed.withColumn("node", F.concat_ws(":", "seq", F.format_string("%012d", first))), "placed")
     left, right = (placed.where(F.col("side") == i).select("hit", F.col("node").alias(n)) for i, n in ((0, "src"), (1, "dst")))

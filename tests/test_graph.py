@@ -71,3 +71,17 @@ def test_pinned_and_buckets(spark):
     row = spark.createDataFrame([(0.120233, 12345678.0, "ENSG1.12", "HN_GCF_1_genomic")], "r double, n double, g string, s string")
     got = row.select(R.six_digits(F.col("r")), R.human_number(F.col("n")), R.strip_version(F.col("g")), R.short_label(F.col("s"), ("HN_",), labels={"GCF_1": "one"})).first()
     assert tuple(got) == ("0.120233", "12.3M", "ENSG1", "one")
+
+
+def test_islands_spread_over_ranges(spark):
+    import random
+
+    from kmerloom.operators import intervals
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), s, s + rng.choice([0, 1, 3, 40]), i) for i in range(1500) for s in [rng.randint(0, 6000)]]
+    df = spark.createDataFrame(rows, "seq string, start long, end long, i long").repartition(5)
+    one, many = ({r.i: (r.seq, r.start, r.end, r.island) for r in intervals.islands(df, ["seq"], spread=x).collect()} for x in (False, True))
+    assert one == many and len({(v[0], v[3]) for v in one.values()}) > 100
+    assert intervals.islands(df.limit(0), ["seq"], spread=True).collect() == []
+    assert intervals.largest_group(df, ["seq"]) > 500
