@@ -31,18 +31,12 @@ def build_index(fragments: DataFrame, k: int, only: DataFrame | None = None) ->
     """(ref_id, kmer, n_bins). `only` (kmer) restricts it to k-mers that will be asked for, before anything is shuffled.
 
     k-mers are made distinct within a fragment as an array in its row, so the count needs no distinct over the table: one
-    aggregation, combined before its shuffle, is all that moves. With `only`, which is stored so that its size is known and Spark broadcasts
-    it or not by that, most k-mers leave by the semi join, and only what is left is made distinct.
+    aggregation, combined before its shuffle, is all that moves. `only` is stored, so that Spark knows its size and broadcasts it or not by that.
     """
-    if only is None:
-        found = fragments.select("ref_id", F.explode(F.array_distinct(S.kmers(F.col("frag"), k))).alias("kmer"))
-        return found.groupBy("ref_id", "kmer").agg(F.count("*").alias("n_bins"))
-    wanted = spool(only.select("kmer").distinct(), "wanted")
-    bins = fragments.withColumn("bin", F.monotonically_increasing_id())
-    found = bins.select("ref_id", "bin", F.explode(S.kmers(F.col("frag"), k)).alias("kmer")).join(wanted, "kmer", "left_semi")
-    # a fragment's k-mers are in one task: the distinct is complete before its shuffle, by (ref_id, kmer) alone
-    each = found.groupBy("ref_id", "kmer", "bin").agg(F.lit(1).alias("one"))
-    return each.groupBy("ref_id", "kmer").agg(F.count("*").alias("n_bins"))
+    found = fragments.select("ref_id", F.explode(F.array_distinct(S.kmers(F.col("frag"), k))).alias("kmer"))
+    if only is not None:
+        found = found.join(spool(only.select("kmer").distinct(), "wanted"), "kmer", "left_semi")
+    return found.groupBy("ref_id", "kmer").agg(F.count("*").alias("n_bins"))
 
 
 def probe(kmers: DataFrame, index: DataFrame) -> DataFrame:
