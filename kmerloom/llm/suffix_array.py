@@ -10,12 +10,11 @@ One suffix array of a whole corpus doesn't fit one machine, so the corpus is cut
 2. Equal runs are folded to the earliest; each string of a later one is repeated. The aggregation is combined before its
    shuffle, so that thousands of copies cost one segment.
 3. The segments (run with the bytes that its windows span) of each anchor with several variants go to one group. Groups are
-   concatenated to texts of bounded size, and each such text gets its suffix array. Anchors of more than HOT_VARIANTS
-   variants are cut by window, and equal windows folded like runs before any byte travels: however many contexts a
-   passage has, its windows come to a suffix array once, and those of one context alone don't come at all. The threshold is low, so that what is
-   cut grows like the input.
+   concatenated to texts of bounded size, and each such text gets its suffix array. Anchors with so many variants that a text can't hold
+   them are cut by window, and equal windows folded like runs before any byte travels: however many contexts a
+   passage has, its windows come to a suffix array once, and those of one context alone don't come at all.
 4. Suffixes whose adjacent common prefixes reach `length` are equal strings; all but the earliest are removed.
-5. What folding alone found equal (whole runs, windows of hot anchors) is compared byte by byte with its source at the source's
+5. What folding alone found equal (whole runs, windows of hot anchors) is compared, by digests of its bytes, with its source at the source's
    coordinates (see coordinates.py) before it is removed.
 """
 
@@ -32,9 +31,8 @@ from .common import _BYTE_SEEDS, POLY_A, POLY_B, U64, i64, merge_spans, mix, pre
 from .coordinates import cell_rows, confirmable, confirmed, spans
 
 GRAM = 32
-#: Symbols of one suffix array, variants from which an anchor's windows are folded, and folded windows of one anchor in a group.
-TEXT_SYMBOLS, HOT_VARIANTS = 1 << 19, 32
-GROUP_WINDOWS = 4096
+#: Symbols of one suffix array, and folded windows of one anchor in a group.
+TEXT_SYMBOLS, GROUP_WINDOWS = 1 << 19, 4096
 #: Symbols (257 values, so 9 bits) in one comparison key.
 STEP = 7
 #: Bytes of a source that one digest covers at most.
@@ -302,7 +300,7 @@ def _cells(batches):
         yield cell_rows(batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), offsets, data.tobytes(), np.arange(len(data) + 1))
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM, hot: int = HOT_VARIANTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM, hot: int | None = None) -> DataFrame:
     """(doc, at, whole, part, size, digest): stretches of bytes of `docs` (doc_id, text) covered by strings of `length` bytes that also start earlier.
 
     at and whole are a stretch's first byte and its bytes. Those that a suffix array found have no digest; others come as cells (part, size) with the digest
@@ -310,6 +308,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = GRAM, hot: int =
     shorter than `length` have none; rows without doc_id take no part; rows that share a doc_id count as one document's text laid on top of each other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    # a run spans less than twice the length: an anchor with more variants than this may not fit a text
+    hot = TEXT_SYMBOLS // (2 * length) if hot is None else hot
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = spool(docs.mapInArrow(_runs(length, min(k, length)), RUNS), "runs")
@@ -372,7 +372,7 @@ def _keep(text: bool):
 KEPT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = (), hot: int = HOT_VARIANTS, text: bool = False) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 100, k: int = GRAM, carry: tuple[str, ...] = (), hot: int | None = None, text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, carry): every document without the bytes of strings that start earlier too.
 
     Kept bytes may begin or end inside a character; with `text` they come as kept_text, without what is left of split characters. Null and empty texts are empty. A row without doc_id loses nothing; of rows that share a
